@@ -30,8 +30,9 @@ def latest_parent(edges: DataFrame, child: str, parent: str, at: str) -> DataFra
 def _double(state: DataFrame, with_paths: bool) -> DataFrame:
     """Follow pointers until each is done; loops end with ``cyclic``.
 
-    ``state``: node, cur, dist, done, hops.  ``hops`` are the nodes passed,
-    nearest first, ``cur`` included.  An open row has gone exactly ``steps``
+    ``state``: node, cur, dist, done, dead, hops.  ``hops`` are the nodes
+    passed, nearest first, ``cur`` included; ``dead`` marks a row that is done
+    because a loop lies above it, and is handed down.  An open row has gone exactly ``steps``
     hops without a stop, so the nodes of its first half all were open at half
     as many hops; when those were fewer than the hops, one came twice and the
     row can never end.
@@ -41,7 +42,7 @@ def _double(state: DataFrame, with_paths: bool) -> DataFrame:
     while True:
         opened = state.where(~F.col("done"))
         left = opened.count()
-        finished.append(state.where("done").withColumn("cyclic", F.lit(False)))
+        finished.append(state.where("done").withColumn("cyclic", F.col("dead")))
         if left == 0:
             break
         if before is not None and before <= steps // 2:
@@ -52,10 +53,10 @@ def _double(state: DataFrame, with_paths: bool) -> DataFrame:
         for f in finished[1:]:
             whole = whole.unionByName(f.drop("cyclic"))
         ahead = whole.unionByName(opened).select(
-            F.col("node").alias("cur"), F.col("cur").alias("_cur"), F.col("dist").alias("_dist"), F.col("done").alias("_done"), *([F.col("hops").alias("_hops")] if with_paths else [])
+            F.col("node").alias("cur"), F.col("cur").alias("_cur"), F.col("dist").alias("_dist"), F.col("done").alias("_done"), F.col("dead").alias("_dead"), *([F.col("hops").alias("_hops")] if with_paths else [])
         )
         moved = opened.join(ahead, "cur")
-        columns = ["node", F.col("_cur").alias("cur"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_done").alias("done")]
+        columns = ["node", F.col("_cur").alias("cur"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_done").alias("done"), F.col("_dead").alias("dead")]
         if with_paths:
             columns.append(F.concat("hops", "_hops").alias("hops"))
         state = cut(moved.select(*columns))
@@ -88,7 +89,7 @@ def resolve(pointers: DataFrame, nodes: DataFrame | None = None, rate: int = 8,
     first = pointers.join(child, "parent", "left").select(
         "node", F.col("parent").alias("cur"), F.lit(1).cast("long").alias("dist"), F.coalesce("_top", F.lit(True)).alias("at_root"), *([F.array("parent").alias("hops")] if with_paths else [])
     )
-    walk = first.withColumn("done", F.col("at_root") | _is_splitter(F.col("cur"), rate)).drop("at_root")
+    walk = first.withColumn("done", F.col("at_root") | _is_splitter(F.col("cur"), rate)).withColumn("dead", F.lit(False)).drop("at_root")
     walked = cut(_double(cut(walk), with_paths))
     # Stops that are splitters have a pointer of their own, roots do not.
     kind = pointers.select(F.col("node").alias("cur"), F.lit(False).alias("_top")).where(_is_splitter(F.col("cur"), rate))
@@ -96,11 +97,8 @@ def resolve(pointers: DataFrame, nodes: DataFrame | None = None, rate: int = 8,
     reduced = walked.where(_is_splitter(F.col("node"), rate)).select(
         "node", "cur", "dist", (F.col("at_root") | F.col("cyclic")).alias("done"), F.col("cyclic").alias("dead"), *(["hops"] if with_paths else [])
     )
-    # A splitter above which there is a splitterless loop ends in a dead stop.
-    dead = reduced.where("dead").select(F.col("node").alias("_dead"))
-    solved = cut(_double(cut(reduced.drop("dead")), with_paths))
-    verdict = solved.join(dead, F.col("cur") == F.col("_dead"), "left").join(dead.withColumnRenamed("_dead", "_self"), F.col("node") == F.col("_self"), "left")
-    verdict = verdict.select(F.col("node").alias("cur"), F.col("cur").alias("_root"), F.col("dist").alias("_depth"), (F.col("cyclic") | F.col("_dead").isNotNull() | F.col("_self").isNotNull()).alias("_loop"), *([F.col("hops").alias("_hops")] if with_paths else []))
+    solved = cut(_double(cut(reduced), with_paths))
+    verdict = solved.select(F.col("node").alias("cur"), F.col("cur").alias("_root"), F.col("dist").alias("_depth"), F.col("cyclic").alias("_loop"), *([F.col("hops").alias("_hops")] if with_paths else []))
     ends = walked.where("at_root").select("node", F.col("cur").alias("root"), F.col("dist").alias("depth"), F.lit(False).alias("is_cycle"), *(["hops"] if with_paths else []))
     lost = walked.where("cyclic").select("node", F.lit(None).cast(pointers.schema["node"].dataType).alias("root"), F.lit(-1).cast("long").alias("depth"), F.lit(True).alias("is_cycle"), *(["hops"] if with_paths else []))
     via = walked.where(~F.col("at_root") & ~F.col("cyclic")).join(verdict, "cur")
