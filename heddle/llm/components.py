@@ -1,0 +1,33 @@
+"""Connected components of undirected links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from heddle.session import cut
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of every linked node; root is the smallest node of its component.
+
+    Alternating large-star and small-star rounds (Kiveris et al., 2014): each
+    round links every node to the smallest neighbour it knows of, and the
+    number of rounds grows with the logarithm of the component's size.  Only
+    aggregates travel; neither a component nor the links are ever collected.
+    """
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
+    edges = cut(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while True:
+        before = edges
+        # Large star: link all larger neighbours of a node to its smallest neighbour.
+        around = edges.union(edges.select("v", "u"))
+        low = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = around.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Small star: link all smaller neighbours and the node to the smallest.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        if edges.join(before, ["u", "v"], "left_anti").isEmpty() and before.join(edges, ["u", "v"], "left_anti").isEmpty():
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

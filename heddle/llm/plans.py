@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import knn, percentiles, vectors
+from heddle.llm import knn, near_duplicates, percentiles, vectors
 from heddle.registry import Registry
 from heddle.session import table
 
@@ -65,3 +65,24 @@ def p6_shards_merged(spark: SparkSession, d: str) -> DataFrame:
     parts = percentiles.summaries(scores, ["run_id", "search_mode", "shard_no", "day"], "latency_ms")
     whole = percentiles.merge(parts, ["run_id", "search_mode"])
     return percentiles.read_summary(whole, ["run_id", "search_mode"], [0.5, 0.95, 0.99])
+
+
+def _entry_texts(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "duplicate_pairs")
+    rows = table(spark, d, "entries").select("id", "text")
+    for side in ("entry_a", "entry_b"):
+        rows = rows.unionByName(pairs.select(F.col(f"{side}.id").alias("id"), F.col(f"{side}.text").alias("text")))
+    return rows
+
+
+@REGISTRY.query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.pairs_of_groups(near_duplicates.groups(_entry_texts(spark, d)))
+
+
+@REGISTRY.query("p3_groups")
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with its class of equal word sets, its group and the size of the group."""
+    rows = near_duplicates.groups(_entry_texts(spark, d))
+    sizes = rows.groupBy("group").agg(F.count("*").alias("members"))
+    return rows.join(sizes, "group").select("id", "class", "group", "members")
