@@ -37,34 +37,22 @@ def _double(state: DataFrame, with_paths: bool) -> DataFrame:
     as many hops; when those were fewer than the hops, one came twice and the
     row can never end.
     """
-    finished = []
+    columns = ["node", "cur", "dist", "done", "dead", *(["hops"] if with_paths else [])]
+    state = cut(state.select(*columns))
     steps, before = 1, None
     while True:
-        opened = state.where(~F.col("done"))
-        left = opened.count()
-        finished.append(state.where("done").withColumn("cyclic", F.col("dead")))
+        left = state.where(~F.col("done")).count()
         if left == 0:
-            break
+            return state.withColumn("cyclic", F.col("dead"))
         if before is not None and before <= steps // 2:
-            finished.append(opened.withColumn("cyclic", F.lit(True)))
-            break
-        # A row still open may point at a row that is done, so join all rows.
-        whole = finished[0].drop("cyclic")
-        for f in finished[1:]:
-            whole = whole.unionByName(f.drop("cyclic"))
-        ahead = whole.unionByName(opened).select(
-            F.col("node").alias("cur"), F.col("cur").alias("_cur"), F.col("dist").alias("_dist"), F.col("done").alias("_done"), F.col("dead").alias("_dead"), *([F.col("hops").alias("_hops")] if with_paths else [])
+            return state.withColumn("cyclic", F.col("dead") | ~F.col("done"))
+        ahead = state.select(F.col("node").alias("cur"), *[F.col(c).alias(f"_{c}") for c in columns[1:]])
+        moved = state.where(~F.col("done")).join(ahead, "cur").select(
+            "node", F.col("_cur").alias("cur"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_done").alias("done"), F.col("_dead").alias("dead"),
+            *([F.concat("hops", "_hops").alias("hops")] if with_paths else []),
         )
-        moved = opened.join(ahead, "cur")
-        columns = ["node", F.col("_cur").alias("cur"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_done").alias("done"), F.col("_dead").alias("dead")]
-        if with_paths:
-            columns.append(F.concat("hops", "_hops").alias("hops"))
-        state = cut(moved.select(*columns))
+        state = cut(state.where("done").unionByName(moved))
         steps, before = steps * 2, left
-    out = finished[0]
-    for f in finished[1:]:
-        out = out.unionByName(f)
-    return out
 
 
 def _is_splitter(node: Column, rate: int) -> Column:
@@ -90,14 +78,14 @@ def resolve(pointers: DataFrame, nodes: DataFrame | None = None, rate: int = 8,
         "node", F.col("parent").alias("cur"), F.lit(1).cast("long").alias("dist"), F.coalesce("_top", F.lit(True)).alias("at_root"), *([F.array("parent").alias("hops")] if with_paths else [])
     )
     walk = first.withColumn("done", F.col("at_root") | _is_splitter(F.col("cur"), rate)).withColumn("dead", F.lit(False)).drop("at_root")
-    walked = cut(_double(cut(walk), with_paths))
+    walked = _double(walk, with_paths)
     # Stops that are splitters have a pointer of their own, roots do not.
     kind = pointers.select(F.col("node").alias("cur"), F.lit(False).alias("_top")).where(_is_splitter(F.col("cur"), rate))
     walked = cut(walked.join(kind, "cur", "left").withColumn("at_root", ~F.col("cyclic") & F.coalesce("_top", F.lit(True))).drop("_top"))
     reduced = walked.where(_is_splitter(F.col("node"), rate)).select(
         "node", "cur", "dist", (F.col("at_root") | F.col("cyclic")).alias("done"), F.col("cyclic").alias("dead"), *(["hops"] if with_paths else [])
     )
-    solved = cut(_double(cut(reduced), with_paths))
+    solved = _double(reduced, with_paths)
     verdict = solved.select(F.col("node").alias("cur"), F.col("cur").alias("_root"), F.col("dist").alias("_depth"), F.col("cyclic").alias("_loop"), *([F.col("hops").alias("_hops")] if with_paths else []))
     ends = walked.where("at_root").select("node", F.col("cur").alias("root"), F.col("dist").alias("depth"), F.lit(False).alias("is_cycle"), *(["hops"] if with_paths else []))
     lost = walked.where("cyclic").select("node", F.lit(None).cast(pointers.schema["node"].dataType).alias("root"), F.lit(-1).cast("long").alias("depth"), F.lit(True).alias("is_cycle"), *(["hops"] if with_paths else []))
