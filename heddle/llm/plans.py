@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import knn, near_duplicates, percentiles, vectors
+from heddle.llm import contamination, knn, near_duplicates, packing, percentiles, splitting, vectors
 from heddle.registry import Registry
 from heddle.session import table
 
@@ -86,3 +86,31 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = near_duplicates.groups(_entry_texts(spark, d))
     sizes = rows.groupBy("group").agg(F.count("*").alias("members"))
     return rows.join(sizes, "group").select("id", "class", "group", "members")
+
+
+@REGISTRY.query("p8_containers")
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """All texts in containers of 2048 tokens."""
+    items = packing.measure(table(spark, d, "documents"), "doc_id", "text", 2048)
+    return packing.pack(items, "doc_id", 2048)
+
+
+@REGISTRY.query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+@REGISTRY.query("p9_spans")
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where the longest leaked passage of each pair is and how long it is."""
+    return _leaks(spark, d)
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text"))
+
+
+@REGISTRY.query("p10_pieces")
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All texts above 512 tokens as pieces with an overlap of 64 tokens."""
+    return splitting.split(table(spark, d, "documents"), "doc_id", "text")
