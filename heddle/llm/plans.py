@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import contamination, knn, near_duplicates, packing, percentiles, splitting, vectors
+from heddle.llm import contamination, knn, near_duplicates, packing, pairs, percentiles, splitting, vectors
 from heddle.registry import Registry
 from heddle.session import table
 
@@ -114,3 +114,9 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     """All texts above 512 tokens as pieces with an overlap of 64 tokens."""
     return splitting.split(table(spark, d, "documents"), "doc_id", "text")
+
+
+@REGISTRY.query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "task_results").dropDuplicates(["result_id"])
+    return pairs.defects(rows, "result_id", "probe", ["answer", "gold_answer"])
