@@ -5,7 +5,7 @@ in ``rate`` as a splitter; roots are always stops.  Each node walks to the
 next stop above it (walks are doubled, so a walk of length w takes log2(w)
 rounds); then only the splitters are solved against each other, and every node
 takes root, depth and path from its stop.  A loop without any splitter never
-meets a stop: its nodes and everything below them are recognised by counting.
+meets a stop: its nodes and everything below them are what no round ends.
 """
 
 from __future__ import annotations
@@ -32,19 +32,21 @@ def _double(state: DataFrame, with_paths: bool) -> DataFrame:
 
     ``state``: node, cur, dist, done, dead, hops.  ``hops`` are the nodes
     passed, nearest first, ``cur`` included; ``dead`` marks a row that is done
-    because a loop lies above it, and is handed down.  An open row has gone exactly ``steps``
-    hops without a stop, so the nodes of its first half all were open at half
-    as many hops; when those were fewer than the hops, one came twice and the
-    row can never end.
+    because a loop lies above it, and is handed down.
+
+    An open row has gone exactly ``steps`` hops without a stop.  If one of
+    them still had a stop ahead, the nodes on its way would be at every
+    smaller distance from it, and some would have been done in this round; so
+    when a round ends no row, all open rows are on loops or below them.
     """
     columns = ["node", "cur", "dist", "done", "dead", *(["hops"] if with_paths else [])]
     state = cut(state.select(*columns))
-    steps, before = 1, None
+    before = None
     while True:
         left = state.where(~F.col("done")).count()
         if left == 0:
             return state.withColumn("cyclic", F.col("dead"))
-        if before is not None and before <= steps // 2:
+        if left == before:
             return state.withColumn("cyclic", F.col("dead") | ~F.col("done"))
         ahead = state.select(F.col("node").alias("cur"), *[F.col(c).alias(f"_{c}") for c in columns[1:]])
         moved = state.where(~F.col("done")).join(ahead, "cur").select(
@@ -52,7 +54,7 @@ def _double(state: DataFrame, with_paths: bool) -> DataFrame:
             *([F.concat("hops", "_hops").alias("hops")] if with_paths else []),
         )
         state = cut(state.where("done").unionByName(moved))
-        steps, before = steps * 2, left
+        before = left
 
 
 def _is_splitter(node: Column, rate: int) -> Column:
