@@ -1,18 +1,16 @@
 """Groups of nearly equal texts by multi-index hashing.
 
-A text's fingerprint is a string of symbols, each the smallest of one random
-order of its distinct words, so two texts differ in a symbol with probability
-one minus their word similarity.  The fingerprint is cut into segments; for
-each segment the ball of Hamming radius one around it is enumerated (all ways
-to leave one symbol open) and looked up in that segment's table.  Texts that
-share a table row are verified by their complete word sets.
+A text's fingerprint is a string of symbols, each the first of its distinct
+words in one random order, so two texts differ in a symbol with probability
+one minus their word similarity.  Orders favour rare words (consistent
+weighted sampling), so that texts sharing only everyday words seldom agree.
+The fingerprint is cut into segments; for each segment the ball of Hamming
+radius one around it is enumerated (all ways to leave one symbol open) and
+looked up in that segment's table.  Texts that share a table row are verified
+by their complete word sets, in which all words count alike.
 
 Bit fingerprints would not do here: at a similarity of 0.60 about a fifth of
 all bits differ, and balls that wide hold a seventh of all segment values.
-
-Verification needs no pair of whole table rows: equal word sets are one class,
-and a table row is turned into pairs of its members block by block inside the
-task that owns the block.
 """
 
 from __future__ import annotations
@@ -36,7 +34,9 @@ class MultiIndex:
     """``similarity``: least share of common words; ``least_words``: texts with fewer distinct words take no part.
 
     ``symbols`` in a segment and ``miss``, the probability to overlook a pair
-    at the least similarity, give the number of segments.  ``block`` bounds the
+    whose weighted similarity is ``sized_for``, give the number of segments.
+    Words in more than ``common`` of all texts weigh less, in proportion; there
+    are at most (mean words of a text / common) of them.  ``block`` bounds the
     members of a table row that one task compares with one another.
     """
 
@@ -44,18 +44,20 @@ class MultiIndex:
     least_words: int = 8
     symbols: int = 5
     miss: float = 0.01
+    sized_for: float = 0.55
+    common: float = 0.02
     block: int = 256
     seed: int = 11
 
     @property
     def segments(self) -> int:
         """Segments needed to overlook a pair with at most ``miss``."""
-        s, j = self.symbols, self.similarity
+        s, j = self.symbols, self.sized_for
         hit = j**s + s * (1 - j) * j ** (s - 1)
         return math.ceil(math.log(self.miss) / math.log(1 - hit))
 
 
-def _fingerprints(params: MultiIndex):  # noqa: ANN202
+def _word_sets(params: MultiIndex):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in batches:
@@ -63,34 +65,58 @@ def _fingerprints(params: MultiIndex):  # noqa: ANN202
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 distinct = set(words(text))
                 if len(distinct) >= params.least_words:
-                    members = np.sort(codes(list(distinct)))
+                    members = codes(list(distinct))
                     ids.append(i)
-                    sets.append(members.tobytes())
+                    sets.append(np.sort((members >> np.uint64(32)).astype(np.uint32)).tobytes())
                     keys.append(int(mix(mix(members).sum(keepdims=True) + np.uint64(len(members)))[0].astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["id", "class", "words"])
 
     return run
 
 
-def _table_keys(params: MultiIndex):  # noqa: ANN202
-    total = params.segments * params.symbols
+def common_words(classes: DataFrame, params: MultiIndex) -> dict[int, float]:
+    """Weights below one by word: words in more than ``common`` of all word sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = b"".join(batch.column(0).to_pylist())
+            values, counts = np.unique(np.frombuffer(raw, np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "n"])
+
+    total = classes.count()
+    seen = classes.select("words").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # Bounded: at most (mean words / common) words can be in so many sets.
+    rows = seen.where(F.col("n") > F.lit(params.common * total)).collect()
+    return {r["word"]: params.common * total / r["n"] for r in rows}
+
+
+def _table_keys(params: MultiIndex, weights: dict[int, float]):  # noqa: ANN202
+    segments, symbols = params.segments, params.symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = mix(np.arange(1, total + 1, dtype=np.uint64) + np.uint64(params.seed << 32))
-        place = mix(np.arange(1, params.segments * params.symbols + 1, dtype=np.uint64) + np.uint64(977 << 32)).reshape(params.segments, params.symbols)
+        salts = mix(np.arange(1, segments * symbols + 1, dtype=np.uint64) + np.uint64(params.seed << 32))
+        place = mix(np.arange(1, segments * symbols + 1, dtype=np.uint64) + np.uint64(977 << 32)).reshape(segments, symbols)
+        drawn: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = np.empty((batch.num_rows, params.segments * params.symbols), np.uint64)
+            out = np.empty((batch.num_rows, segments * symbols), np.uint64)
             for row, raw in enumerate(batch.column(1).to_pylist()):
-                members = np.frombuffer(raw, np.uint64)
-                symbols = mix(members[:, None] ^ salts[None, :]).min(axis=0).reshape(params.segments, params.symbols)
-                part = mix(symbols ^ place)
+                members = np.frombuffer(raw, np.uint32).tolist()
+                if len(drawn) > 1 << 16:
+                    drawn.clear()
+                for w in members:
+                    if w not in drawn:
+                        # Exponential draws with the word's weight as rate: the smallest marks the symbol.
+                        uniform = ((mix(np.uint64(w) * np.uint64(0x9E3779B97F4A7C15) ^ salts) >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
+                        drawn[w] = (-np.log(uniform) / weights.get(w, 1.0)).astype(np.float32)
+                first = np.stack([drawn[w] for w in members]).argmin(axis=0)
+                chosen = np.asarray(members, np.uint64)[first].reshape(segments, symbols)
+                part = mix((chosen << np.uint64(20)) ^ place)
                 # The ball of radius one: each symbol in turn is left open.
                 out[row] = (part.sum(axis=1, keepdims=True) - part + place).reshape(-1)
             keys = mix(out).astype(np.int64).reshape(-1)
-            ids = np.repeat(batch.column(0).to_numpy(), params.segments * params.symbols)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), segments * symbols))], names=["key", "class"])
 
     return run
 
@@ -98,29 +124,68 @@ def _table_keys(params: MultiIndex):  # noqa: ANN202
 def _pairs_in_rows(keys: DataFrame, params: MultiIndex) -> DataFrame:
     """Distinct (a, b), a < b, of classes that share a table row.
 
-    A row with more than ``block`` members is spread over blocks of members;
-    each pair of blocks is a group of its own, so the largest group has two
-    blocks, whatever the size of the row.  Only sizes of such rows are joined
-    back.
+    Table rows are read as runs of sorted keys.  A row with more than
+    ``block`` members is not paired there: its members are spread over blocks,
+    and each pair of blocks is a group of its own with two blocks at most,
+    whatever the size of the row.
     """
-    shared = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-    small = shared.where(F.col("n") <= params.block)
-    groups = small.groupBy("key").agg(F.array_sort(F.collect_list("class")).alias("m"))
-    few = groups.select(F.explode(F.flatten(F.transform("m", lambda a, i: F.transform(F.slice(F.col("m"), i + 2, params.block), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
-    large = shared.where(F.col("n") > params.block)
-    parts = F.ceil(F.col("n") / params.block).cast("int")
-    spread = large.select("key", "class", parts.alias("parts"), F.pmod(F.xxhash64("class"), parts).cast("int").alias("part"))
+    block = params.block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_keys, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        large: int | None = None
+
+        def close(keys: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
+            """Pairs of whole runs; members of runs that are too long go on unpaired."""
+            starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1 if len(keys) else 0))
+            sizes = np.diff(np.append(starts, len(keys)))
+            size_of = np.repeat(sizes, sizes)
+            long = (size_of > block) | (keys == large if large is not None else np.zeros(len(keys), bool))
+            place = np.arange(len(keys)) - np.repeat(starts, sizes)
+            left, right = [classes[long]], [np.full(int(long.sum()), -1)]
+            tags = [keys[long]]
+            for step in range(1, int(min(block, sizes.max(initial=0)))):
+                b = np.flatnonzero((place >= step) & ~long)
+                x, y = classes[b - step], classes[b]
+                real = x != y
+                left.append(np.minimum(x, y)[real])
+                right.append(np.maximum(x, y)[real])
+                tags.append(np.zeros(int(real.sum()), np.int64))
+            paired = np.concatenate([np.zeros(len(left[0]), bool), np.ones(sum(map(len, left[1:])), bool)])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right)), pa.array(np.concatenate(tags)), pa.array(paired)], names=["a", "b", "key", "paired"])
+
+        for batch in batches:
+            keys = np.concatenate([held_keys, batch.column(0).to_numpy()])
+            classes = np.concatenate([held, batch.column(1).to_numpy()])
+            if not len(keys):
+                continue
+            # The last run may go on in the next batch; one that is long already needs not be held.
+            last = int(np.searchsorted(keys, keys[-1]))
+            if len(keys) - last > block:
+                yield close(keys, classes)
+                large, held_keys, held = int(keys[-1]), keys[:0], classes[:0]
+            else:
+                yield close(keys[:last], classes[:last])
+                held_keys, held = keys[last:], classes[last:]
+        if len(held_keys):
+            yield close(held_keys, held)
+
+    rows = keys.repartition("key").sortWithinPartitions("key", "class")
+    found = cut(rows.mapInArrow(run, "a long, b long, key long, paired boolean"))
+    few = found.where("paired").select("a", "b")
+    large = found.where(~F.col("paired")).select("key", F.col("a").alias("class"))
+    large = large.join(large.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "key")
+    spread = large.select("key", "class", "parts", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
     spread = spread.select("key", "class", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     spread = spread.select("key", "class", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     blocks = spread.groupBy("key", "i", "j").agg(F.collect_list(F.when(F.col("part") == F.col("i"), F.col("class"))).alias("x"), F.collect_list(F.when(F.col("part") == F.col("j"), F.col("class"))).alias("y"))
     many = blocks.select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b")).where("a <> b")
-    many = many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return few.unionByName(many).distinct()
+    return few.unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def similar_classes(classes: DataFrame, params: MultiIndex) -> DataFrame:
     """(a, b, similarity) of classes whose word sets are alike; ``classes``: (class, words)."""
-    keys = classes.select("class", "words").mapInArrow(_table_keys(params), "key long, class long").distinct()
+    keys = classes.select("class", "words").mapInArrow(_table_keys(params, common_words(classes, params)), "key long, class long")
     pairs = _pairs_in_rows(keys, params)
     left = classes.select(F.col("class").alias("a"), F.col("words").alias("wa"))
     right = classes.select(F.col("class").alias("b"), F.col("words").alias("wb"))
@@ -130,11 +195,12 @@ def similar_classes(classes: DataFrame, params: MultiIndex) -> DataFrame:
         for batch in batches:
             found = np.empty(batch.num_rows)
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                found[i] = common / (len(p) + len(q) - common)
-            keep = found >= params.similarity - 1e-12
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(found[keep])], names=["a", "b", "similarity"])
+                both = np.concatenate([np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                found[i] = common / (len(both) - common)
+            keep = pa.array(found >= params.similarity - 1e-12)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(found).filter(keep)], names=["a", "b", "similarity"])
 
     return sides.mapInArrow(run, "a long, b long, similarity double")
 
@@ -143,17 +209,18 @@ def groups(texts: DataFrame, params: MultiIndex | None = None) -> DataFrame:
     """(id, class, group): every text that takes part, with its class of equal word sets and its group.
 
     ``texts``: (id, text).  An id seen with several texts counts with the
-    first that takes part (smallest in text order).  Null, blank and short
+    one of them (the smallest class).  Null, blank and short
     texts take no part.  A group is named by its smallest class; it joins
     classes that are alike directly or through others.
     """
     params = params or MultiIndex()
-    one = texts.where("id is not null and text is not null").groupBy("id").agg(F.min("text").alias("text"))
-    members = cut(one.mapInArrow(_fingerprints(params), "id long, class long, words binary"))
-    classes = cut(members.groupBy("class").agg(F.first("words").alias("words")))
+    rows = texts.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text")
+    read = cut(rows.mapInArrow(_word_sets(params), "id long, class long, words binary"))
+    members = read.groupBy("id").agg(F.min("class").alias("class"))
+    classes = cut(read.groupBy("class").agg(F.first("words").alias("words")))
     links = cut(similar_classes(classes, params))
     named = components(links.select("a", "b"))
-    joined = members.select("id", "class").join(named.select(F.col("node").alias("class"), "root"), "class", "left")
+    joined = members.join(named.select(F.col("node").alias("class"), "root"), "class", "left")
     return joined.select("id", "class", F.coalesce("root", "class").alias("group"))
 
 
