@@ -32,6 +32,11 @@ LONGEST_ATOM = 48
 HARD_BYTES = 64
 
 
+#: An atom as stored: 9 bytes. A place: global token and character offsets.
+ATOM = np.dtype([("chars", "<u4"), ("tokens", "<u4"), ("strength", "u1")])
+PLACE = np.dtype([("tok", "<i8"), ("pos", "<i8")])
+
+
 @dataclass(frozen=True)
 class Pieces:
     """``limit``: most tokens of a piece; ``overlap``: tokens a piece repeats of the one before.
@@ -66,8 +71,8 @@ def _agreed(body: str, start: int, halo: int) -> int:
     return start
 
 
-def atoms(text: str, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
-    """End positions (characters), token counts and end strengths of the atoms of ``text``.
+def atoms(text: str, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:  # noqa: ANN001
+    """End positions (characters), token counts and end strengths of the atoms of ``text``, and its tokens.
 
     Atoms end where white space follows something else; there the tokenizer
     always splits, so counts of atoms add up exactly.  Stretches without such
@@ -75,7 +80,7 @@ def atoms(text: str, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # no
     """
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8), 0
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     starts = np.flatnonzero(space[1:] & ~space[:-1]) + 1
     ids = encode(text)
@@ -95,7 +100,7 @@ def atoms(text: str, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # no
     if len(long):
         ends, counts, strength = _hard(text, raw, ends, counts, strength, set(long.tolist()), encode)
     chars = np.cumsum((raw & 0xC0) != 0x80)
-    return chars[ends - 1], counts, strength.astype(np.int8)
+    return chars[ends - 1], counts, strength.astype(np.int8), len(ids)
 
 
 def _hard(text: str, raw: np.ndarray, ends: np.ndarray, counts: np.ndarray, strength: np.ndarray, long: set[int], encode):  # noqa: ANN001, ANN202
@@ -170,44 +175,46 @@ def split(df: DataFrame, key: str, text: str, params: Pieces | None = None) -> D
             out: list[tuple] = []
             for k, number, last, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 start, own = _own(body, number, last, params)
-                ends, counts, strength = atoms(own, encode)
-                total = int(counts.sum())
-                if number == 0 and last and total <= params.limit:
+                ends, counts, strength, real = atoms(own, encode)
+                if number == 0 and last and real <= params.limit:
                     continue
-                out.append((k, number, start, own, ends + start, counts, strength, total))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 8
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.int64())
-            names = ["key", "range_no", "start", "own", "ends", "counts", "strength", "total"]
+                packed = np.rec.fromarrays([np.diff(ends, prepend=0), counts, strength], dtype=ATOM).tobytes()
+                out.append((k, number, start, len(own), packed, int(counts.sum()), real))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            names = ["key", "range_no", "start", "chars", "atoms", "total", "real"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    schema = "key long, range_no int, start long, own string, ends array<long>, counts array<long>, strength array<byte>, total long"
-    tabled = cut(bodies.select(F.col("key").cast("long").alias("key"), "range_no", "last", "body").mapInArrow(table, schema))
+    schema = "key long, range_no int, start long, chars long, atoms binary, total long, real long"
+    bodies = bodies.select(F.col("key").cast("long").alias("key"), "range_no", "last", "body")
+    tabled = cut(bodies.mapInArrow(table, schema))
     within = Window.partitionBy("key")
-    sums = tabled.select("key", "range_no", "start", F.length("own").alias("chars"), "total")
+    sums = tabled.select("key", "range_no", "start", "chars", "total", "real")
     sums = sums.withColumn("base", F.sum("total").over(within.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)))
-    sums = sums.select("key", "range_no", "start", (F.col("start") + F.col("chars")).alias("stop"), F.coalesce("base", F.lit(0)).alias("base"), F.sum("total").over(within).alias("whole"))
-    sums = cut(sums.where(F.col("whole") > params.limit))
+    sums = sums.select("key", "range_no", "start", (F.col("start") + F.col("chars")).alias("stop"), F.coalesce("base", F.lit(0)).alias("base"), F.sum("total").over(within).alias("whole"), F.sum("real").over(within).alias("_real"))
+    sums = cut(sums.where(F.col("_real") > params.limit).drop("_real"))
     stride, slack = params.stride, params.slack
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for k, base, ends, counts, strength in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                at = base + np.cumsum(np.asarray(counts, np.int64))
-                ends, strength = np.asarray(ends, np.int64), np.asarray(strength, np.int64)
+            for k, start, base, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                table = np.frombuffer(packed, ATOM)
+                at = base + np.cumsum(table["tokens"], dtype=np.int64)
+                ends, strength = start + np.cumsum(table["chars"], dtype=np.int64), table["strength"]
                 bucket = at // stride
                 edges = np.flatnonzero(np.diff(bucket, prepend=-1))
                 for a, b in zip(edges, [*edges[1:], len(at)], strict=True):
                     number = int(bucket[a])
                     good = np.flatnonzero(at[a:b] >= (number + 1) * stride - slack) + a
                     best = max(((int(strength[i]), int(at[i]), int(ends[i])) for i in good), default=None)
-                    out.append((k, number, dict(zip(("s", "tok", "pos"), best, strict=True)) if best else None, [{"tok": t, "pos": p} for t, p in zip(at[a:b].tolist(), ends[a:b].tolist(), strict=True)]))
+                    out.append((k, number, dict(zip(("s", "tok", "pos"), best, strict=True)) if best else None, np.rec.fromarrays([at[a:b], ends[a:b]], dtype=PLACE).tobytes()))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.struct([("s", pa.int64()), ("tok", pa.int64()), ("pos", pa.int64())]), pa.list_(pa.struct([("tok", pa.int64()), ("pos", pa.int64())])))
+            kinds = (pa.int64(), pa.int64(), pa.struct([("s", pa.int64()), ("tok", pa.int64()), ("pos", pa.int64())]), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "bucket", "best", "places"])
 
-    based = tabled.select("key", "range_no", "ends", "counts", "strength").join(sums.select("key", "range_no", "base"), ["key", "range_no"])
-    parts = based.select("key", "base", "ends", "counts", "strength").mapInArrow(buckets, "key long, bucket long, best struct<s:long,tok:long,pos:long>, places array<struct<tok:long,pos:long>>")
+    based = tabled.select("key", "range_no", "atoms").join(sums.select("key", "range_no", "start", "base"), ["key", "range_no"])
+    parts = based.select("key", "start", "base", "atoms").mapInArrow(buckets, "key long, bucket long, best struct<s:long,tok:long,pos:long>, places binary")
     parts = cut(parts)
     docs = sums.groupBy("key").agg(F.max("whole").alias("whole"), F.max("stop").alias("stop"))
     cuts = parts.where("best is not null").groupBy("key", "bucket").agg(F.max("best").alias("b"))
@@ -215,9 +222,19 @@ def split(df: DataFrame, key: str, text: str, params: Pieces | None = None) -> D
     cuts = cuts.select("key", (F.col("bucket") + 1).alias("k"), F.col("b.tok").alias("tok"), F.col("b.pos").alias("pos"))
     # The piece after a cut starts at the earliest atom within the overlap.
     reach = cuts.select("key", "k", "tok", F.explode(F.array(F.col("k") - 1, F.col("k") - 2)).alias("bucket"))
-    reach = reach.join(parts.select("key", "bucket", "places"), ["key", "bucket"])
-    near = F.array_min(F.filter("places", lambda p: (p["tok"] >= F.col("tok") - params.overlap) & (p["tok"] <= F.col("tok"))))
-    back = reach.groupBy("key", "k").agg(F.min(near).alias("m")).select("key", "k", F.col("m.tok").alias("from_tok"), F.col("m.pos").alias("from_pos"))
+    reach = reach.join(parts.select("key", "bucket", "places"), ["key", "bucket"]).select("key", "k", "tok", "places")
+
+    def earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for tok, packed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                table = np.frombuffer(packed, PLACE)
+                i = int(np.searchsorted(table["tok"], tok - params.overlap))
+                found.append({"tok": int(table["tok"][i]), "pos": int(table["pos"][i])} if i < len(table) and table["tok"][i] <= tok else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.struct([("tok", pa.int64()), ("pos", pa.int64())]))], names=["key", "k", "m"])
+
+    back = reach.mapInArrow(earliest, "key long, k long, m struct<tok:long,pos:long>").groupBy("key", "k").agg(F.min("m").alias("m"))
+    back = back.select("key", "k", F.col("m.tok").alias("from_tok"), F.col("m.pos").alias("from_pos"))
     ends = cuts.select("key", F.col("k").alias("piece_no"), F.col("tok").alias("to_tok"), F.col("pos").alias("to_pos"))
     last = docs.select("key", F.ceil(F.col("whole") / stride).alias("piece_no"), F.col("whole").alias("to_tok"), F.col("stop").alias("to_pos"))
     pieces = ends.unionByName(last).join(back.select("key", (F.col("k") + 1).alias("piece_no"), "from_tok", "from_pos"), ["key", "piece_no"], "left")
@@ -225,7 +242,14 @@ def split(df: DataFrame, key: str, text: str, params: Pieces | None = None) -> D
     # A range may reach into the halo of the next one, never further.
     low, high = F.floor(F.col("start_char") / params.size) - 1, F.floor(F.col("end_char") / params.size)
     touched = pieces.withColumn("range_no", F.explode(F.sequence(F.greatest(low, F.lit(0)).cast("int"), high.cast("int"))))
-    texts = touched.join(tabled.select("key", "range_no", "start", "own"), ["key", "range_no"])
+
+    # Ranges are read again rather than kept; only those of texts above the limit travel.
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_own(body, number, last, params) for number, last, body in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in found], pa.int64()), pa.array([o for _, o in found], pa.string())], names=["key", "range_no", "start", "own"])
+
+    texts = touched.join(bodies.mapInArrow(owned, "key long, range_no int, start long, own string"), ["key", "range_no"])
     begin, stop = F.greatest("start_char", "start"), F.least("end_char", F.col("start") + F.length("own"))
     texts = texts.where(begin < stop).select("key", "piece_no", "start_char", "end_char", "tokens", F.struct("range_no", F.substring("own", (begin - F.col("start") + 1).cast("int"), (stop - begin).cast("int")).alias("t")).alias("p"))
     whole = texts.groupBy("key", "piece_no", "start_char", "end_char", "tokens").agg(F.array_sort(F.collect_list("p")).alias("p"))
