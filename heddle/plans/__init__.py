@@ -6,7 +6,7 @@ from importlib import import_module
 
 from heddle.registry import Registry
 
-MODULES = ("training",)
+MODULES = ("training", "scans", "texts")
 
 
 def registries() -> list[Registry]:
