@@ -136,8 +136,9 @@ def expansion_terms(ranked: DataFrame, query: str, text: str, query_text: str, t
     The score is df * 10 + tf; terms of the query itself are left out; equal
     scores rank alphabetically.  ``ranked`` has a column rank.
     """
-    rows = ranked.where(F.col("rank") <= top).select(query, "rank", F.explode(lexical_tokens(F.col(text))).alias("term"), lexical_tokens(F.col(query_text)).alias("_q"))
-    rows = rows.where(~F.array_contains("_q", F.col("term")))
+    rows = ranked.where(F.col("rank") <= top).select(query, "rank", F.explode(lexical_tokens(F.col(text))).alias("term"))
+    own = ranked.select(query, query_text).distinct().select(query, F.explode(lexical_tokens(F.col(query_text))).alias("term"))
+    rows = rows.join(own, [query, "term"], "left_anti")
     terms = rows.groupBy(query, "term").agg(F.count_distinct("rank").alias("df"), F.count("*").alias("tf")).where(F.col("df") >= least)
     terms = terms.withColumn("score", F.col("df") * 10 + F.col("tf"))
     order = Window.partitionBy(query).orderBy(F.desc("score"), "term")

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from heddle.registry import Registry
 
-MODULES = ("training", "scans", "texts")
+MODULES = ("training", "scans", "texts", "ranking", "graphs")
 
 
 def registries() -> list[Registry]:

@@ -91,7 +91,7 @@ def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("prf_terms", f"""WITH {POSTINGS_SQL}, {ITEMS_SQL}, {bm25_sql('q', 5)},
 x AS (SELECT bm.query_id, bm.rank, unnest(t.tk) AS term FROM bm JOIN t USING (doc_id)),
-y AS (SELECT x.query_id, x.term, count(DISTINCT x.rank) AS df, count(*) AS tf FROM x JOIN q USING (query_id) WHERE NOT list_contains({tokens_sql('q.text')}, x.term) GROUP BY 1, 2 HAVING count(DISTINCT x.rank) >= 2)
+y AS (SELECT query_id, term, count(DISTINCT rank) AS df, count(*) AS tf FROM x WHERE (query_id, term) NOT IN (SELECT (query_id, term) FROM qt) GROUP BY 1, 2 HAVING count(DISTINCT rank) >= 2)
 SELECT query_id, term, df, tf, df * 10 + tf AS score, row_number() OVER (PARTITION BY query_id ORDER BY df * 10 + tf DESC, term)::INTEGER AS rank FROM y QUALIFY rank <= 5""")
 def prf_terms(spark: SparkSession, d: str) -> DataFrame:
     """Feedback terms of every held-out item from its five best documents."""
