@@ -45,6 +45,7 @@ class MultiIndex:
     symbols: int = 5
     miss: float = 0.01
     sized_for: float = 0.55
+    sketch: int = 4
     common: float = 0.02
     block: int = 256
     seed: int = 11
@@ -94,13 +95,14 @@ def _table_keys(params: MultiIndex, weights: dict[int, float]):  # noqa: ANN202
     segments, symbols = params.segments, params.symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = mix(np.arange(1, segments * symbols + 1, dtype=np.uint64) + np.uint64(params.seed << 32))
+        salts = mix(np.arange(1, segments * symbols + 17, dtype=np.uint64) + np.uint64(params.seed << 32))
         place = mix(np.arange(1, segments * symbols + 1, dtype=np.uint64) + np.uint64(977 << 32)).reshape(segments, symbols)
         drawn: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             out = np.empty((batch.num_rows, segments * symbols), np.uint64)
+            sketches = np.empty(batch.num_rows, np.uint64)
             for row, raw in enumerate(batch.column(1).to_pylist()):
                 members = np.frombuffer(raw, np.uint32).tolist()
                 if len(drawn) > 1 << 16:
@@ -111,98 +113,135 @@ def _table_keys(params: MultiIndex, weights: dict[int, float]):  # noqa: ANN202
                         uniform = ((mix(np.uint64(w) * np.uint64(0x9E3779B97F4A7C15) ^ salts) >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
                         drawn[w] = (-np.log(uniform) / weights.get(w, 1.0)).astype(np.float32)
                 first = np.stack([drawn[w] for w in members]).argmin(axis=0)
-                chosen = np.asarray(members, np.uint64)[first].reshape(segments, symbols)
+                drawn_words = np.asarray(members, np.uint64)[first]
+                sketches[row] = ((mix(drawn_words[segments * symbols :]) & np.uint64(15)) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum()
+                chosen = drawn_words[: segments * symbols].reshape(segments, symbols)
                 part = mix((chosen << np.uint64(20)) ^ place)
                 # The ball of radius one: each symbol in turn is left open.
                 out[row] = (part.sum(axis=1, keepdims=True) - part + place).reshape(-1)
             keys = mix(out).astype(np.int64).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), segments * symbols))], names=["key", "class"])
+            wide = lambda x: pa.array(np.repeat(x, segments * symbols))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), wide(batch.column(0).to_numpy()), wide(sketches.astype(np.int64))], names=["key", "class", "sketch"])
 
     return run
 
 
-def _pairs_in_rows(keys: DataFrame, params: MultiIndex) -> DataFrame:
-    """Distinct (a, b), a < b, of classes that share a table row.
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the 16 sketch symbols agree."""
+    z = (x ^ y).astype(np.uint64)
+    z |= z >> np.uint64(1)
+    z |= z >> np.uint64(2)
+    return 16 - np.bitwise_count(z & np.uint64(0x1111111111111111)).astype(np.int64)
 
-    Table rows are read as runs of sorted keys.  A row with more than
-    ``block`` members is not paired there: its members are spread over blocks,
-    and each pair of blocks is a group of its own with two blocks at most,
-    whatever the size of the row.
-    """
+
+def _rows_to_pairs(params: MultiIndex):  # noqa: ANN202
+    """Pairs of members of table rows, read as runs of sorted keys; members of too long rows go on unpaired."""
     block = params.block
 
+    def close(keys: np.ndarray, classes: np.ndarray, sketches: np.ndarray, large: int | None) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(keys)))
+        long = np.repeat(sizes, sizes) > block
+        if large is not None:
+            long |= keys == large
+        place = np.arange(len(keys)) - np.repeat(starts, sizes)
+        out = [(classes[long], np.full(int(long.sum()), -1), keys[long])]
+        paired = [np.zeros(int(long.sum()), bool)]
+        for step in range(1, int(min(block, sizes.max(initial=0)))):
+            later = np.flatnonzero((place >= step) & ~long)
+            x, y = classes[later - step], classes[later]
+            real = (x != y) & (agreeing(sketches[later - step], sketches[later]) >= params.sketch)
+            out.append((np.minimum(x, y)[real], np.maximum(x, y)[real], np.zeros(int(real.sum()), np.int64)))
+            paired.append(np.ones(int(real.sum()), bool))
+        columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(paired))], names=["a", "b", "key", "paired"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64)] * 3
         large: int | None = None
-
-        def close(keys: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
-            """Pairs of whole runs; members of runs that are too long go on unpaired."""
-            starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1 if len(keys) else 0))
-            sizes = np.diff(np.append(starts, len(keys)))
-            size_of = np.repeat(sizes, sizes)
-            long = (size_of > block) | (keys == large if large is not None else np.zeros(len(keys), bool))
-            place = np.arange(len(keys)) - np.repeat(starts, sizes)
-            left, right = [classes[long]], [np.full(int(long.sum()), -1)]
-            tags = [keys[long]]
-            for step in range(1, int(min(block, sizes.max(initial=0)))):
-                b = np.flatnonzero((place >= step) & ~long)
-                x, y = classes[b - step], classes[b]
-                real = x != y
-                left.append(np.minimum(x, y)[real])
-                right.append(np.maximum(x, y)[real])
-                tags.append(np.zeros(int(real.sum()), np.int64))
-            paired = np.concatenate([np.zeros(len(left[0]), bool), np.ones(sum(map(len, left[1:])), bool)])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right)), pa.array(np.concatenate(tags)), pa.array(paired)], names=["a", "b", "key", "paired"])
-
         for batch in batches:
-            keys = np.concatenate([held_keys, batch.column(0).to_numpy()])
-            classes = np.concatenate([held, batch.column(1).to_numpy()])
+            joined = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            keys = joined[0]
             if not len(keys):
                 continue
-            # The last run may go on in the next batch; one that is long already needs not be held.
+            # The last run may go on in the next batch; one that is long already need not be held.
             last = int(np.searchsorted(keys, keys[-1]))
-            if len(keys) - last > block:
-                yield close(keys, classes)
-                large, held_keys, held = int(keys[-1]), keys[:0], classes[:0]
+            if len(keys) - last > block or keys[-1] == large:
+                yield close(*joined, large)
+                large, held = int(keys[-1]), [c[:0] for c in joined]
             else:
-                yield close(keys[:last], classes[:last])
-                held_keys, held = keys[last:], classes[last:]
-        if len(held_keys):
-            yield close(held_keys, held)
+                yield close(*[c[:last] for c in joined], large)
+                held = [c[last:] for c in joined]
+        if len(held[0]):
+            yield close(*held, large)
+
+    return run
+
+
+def similarity(x: bytes, y: bytes) -> float:
+    """Shared words over words of either, of two packed word sets."""
+    both = np.concatenate([np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common)
 
-    rows = keys.repartition("key").sortWithinPartitions("key", "class")
-    found = cut(rows.mapInArrow(run, "a long, b long, key long, paired boolean"))
-    few = found.where("paired").select("a", "b")
-    large = found.where(~F.col("paired")).select("key", F.col("a").alias("class"))
-    large = large.join(large.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "key")
-    spread = large.select("key", "class", "parts", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
-    spread = spread.select("key", "class", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    spread = spread.select("key", "class", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    blocks = spread.groupBy("key", "i", "j").agg(F.collect_list(F.when(F.col("part") == F.col("i"), F.col("class"))).alias("x"), F.collect_list(F.when(F.col("part") == F.col("j"), F.col("class"))).alias("y"))
-    many = blocks.select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b")).where("a <> b")
-    return few.unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+def _links_of_blocks(params: MultiIndex):  # noqa: ANN202
+    """Verified links between the members of two blocks, as few as join what they join."""
+
+    def run(group: pa.Table) -> pa.Table:
+        members = sorted({*zip(group["class"].to_pylist(), group["part"].to_pylist(), group["words"].to_pylist())})
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        root = list(range(len(members)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        links = []
+        for x, (a, part, own) in enumerate(members):
+            for y in range(x):
+                if (part != members[y][1] or i == j) and find(x) != find(y) and similarity(own, members[y][2]) >= params.similarity - 1e-12:
+                    root[find(x)] = find(y)
+                    links.append((members[y][0], a))
+        columns = list(zip(*links, strict=True)) if links else [[], []]
+        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
+
+    return run
 
 
 def similar_classes(classes: DataFrame, params: MultiIndex) -> DataFrame:
-    """(a, b, similarity) of classes whose word sets are alike; ``classes``: (class, words)."""
-    keys = classes.select("class", "words").mapInArrow(_table_keys(params, common_words(classes, params)), "key long, class long")
-    pairs = _pairs_in_rows(keys, params)
-    left = classes.select(F.col("class").alias("a"), F.col("words").alias("wa"))
-    right = classes.select(F.col("class").alias("b"), F.col("words").alias("wb"))
+    """(a, b): links between classes whose word sets are alike; ``classes``: (class, words).
+
+    All alike pairs of table rows of up to ``block`` members come out, of
+    longer rows as many as join the same classes.
+    """
+    keys = classes.select("class", "words").mapInArrow(_table_keys(params, common_words(classes, params)), "key long, class long, sketch long")
+    rows = keys.repartition("key").sortWithinPartitions("key", "class")
+    found = cut(rows.mapInArrow(_rows_to_pairs(params), "a long, b long, key long, paired boolean"))
+    pairs = cut(found.where("paired").select("a", "b").distinct())
+    # Only word sets of some pair travel; their ids are broadcast up to a million (under 16 MB).
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    needed = classes.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "class", "left_semi")
+    left = needed.select(F.col("class").alias("a"), F.col("words").alias("wa"))
+    right = needed.select(F.col("class").alias("b"), F.col("words").alias("wb"))
     sides = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.empty(batch.num_rows)
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                both = np.concatenate([np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                found[i] = common / (len(both) - common)
-            keep = pa.array(found >= params.similarity - 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(found).filter(keep)], names=["a", "b", "similarity"])
+            alike = pa.array([similarity(x, y) >= params.similarity - 1e-12 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(alike), batch.column(1).filter(alike)], names=["a", "b"])
 
-    return sides.mapInArrow(run, "a long, b long, similarity double")
+    few = sides.mapInArrow(verify, "a long, b long")
+    large = found.where(~F.col("paired")).select("key", F.col("a").alias("class"))
+    large = large.join(large.groupBy("key").agg(F.ceil(F.count("*") / params.block).cast("int").alias("parts")), "key")
+    spread = large.select("key", "class", "parts", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
+    spread = spread.select("key", "class", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    spread = spread.select("key", "class", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(classes, "class")
+    many = spread.groupBy("key", "i", "j").applyInArrow(_links_of_blocks(params), "a long, b long")
+    return few.unionByName(many)
 
 
 def groups(texts: DataFrame, params: MultiIndex | None = None) -> DataFrame:
@@ -219,7 +258,7 @@ def groups(texts: DataFrame, params: MultiIndex | None = None) -> DataFrame:
     members = read.groupBy("id").agg(F.min("class").alias("class"))
     classes = cut(read.groupBy("class").agg(F.first("words").alias("words")))
     links = cut(similar_classes(classes, params))
-    named = components(links.select("a", "b"))
+    named = components(links)
     joined = members.join(named.select(F.col("node").alias("class"), "root"), "class", "left")
     return joined.select("id", "class", F.coalesce("root", "class").alias("group"))
 
