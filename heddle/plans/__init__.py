@@ -6,7 +6,7 @@ from importlib import import_module
 
 from heddle.registry import Registry
 
-MODULES = ("training", "scans", "texts", "ranking", "graphs", "lifecycles")
+MODULES = ("training", "scans", "texts", "ranking", "graphs", "lifecycles", "governing")
 
 
 def registries() -> list[Registry]:
