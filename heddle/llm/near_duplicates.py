@@ -45,7 +45,7 @@ class MultiIndex:
     symbols: int = 5
     miss: float = 0.01
     sized_for: float = 0.55
-    sketch: int = 4
+    sketch: int = 5
     common: float = 0.02
     block: int = 256
     seed: int = 11
