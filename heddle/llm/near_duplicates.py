@@ -35,8 +35,10 @@ class MultiIndex:
 
     ``symbols`` in a segment and ``miss``, the probability to overlook a pair
     whose weighted similarity is ``sized_for``, give the number of segments.
-    Words in more than ``common`` of all texts weigh less, in proportion; there
-    are at most (mean words of a text / common) of them.  ``block`` bounds the
+    Words in more than ``common`` of all texts weigh less, in proportion, but
+    never less than ``least_weight``: the words of a family of copies that makes
+    up much of the collection must still decide.  There are at most (mean words
+    of a text / common) of them.  ``block`` bounds the
     members of a table row that one task compares with one another.
     """
 
@@ -47,6 +49,7 @@ class MultiIndex:
     sized_for: float = 0.55
     sketch: int = 5
     common: float = 0.02
+    least_weight: float = 0.25
     block: int = 256
     seed: int = 11
 
@@ -88,7 +91,7 @@ def common_words(classes: DataFrame, params: MultiIndex) -> dict[int, float]:
     seen = classes.select("words").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # Bounded: at most (mean words / common) words can be in so many sets.
     rows = seen.where(F.col("n") > F.lit(params.common * total)).collect()
-    return {r["word"]: params.common * total / r["n"] for r in rows}
+    return {r["word"]: max(params.least_weight, params.common * total / r["n"]) for r in rows}
 
 
 def _table_keys(params: MultiIndex, weights: dict[int, float]):  # noqa: ANN202
@@ -110,7 +113,7 @@ def _table_keys(params: MultiIndex, weights: dict[int, float]):  # noqa: ANN202
                 for w in members:
                     if w not in drawn:
                         # Exponential draws with the word's weight as rate: the smallest marks the symbol.
-                        uniform = ((mix(np.uint64(w) * np.uint64(0x9E3779B97F4A7C15) ^ salts) >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
+                        uniform = ((mix(np.uint64(w * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) ^ salts) >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
                         drawn[w] = (-np.log(uniform) / weights.get(w, 1.0)).astype(np.float32)
                 first = np.stack([drawn[w] for w in members]).argmin(axis=0)
                 drawn_words = np.asarray(members, np.uint64)[first]
