@@ -130,7 +130,7 @@ def lineage_bfs(spark: SparkSession, d: str) -> DataFrame:
 HASH_SQL = "nullif(regexp_extract(lower(trim({0})), '^(?:sha-?256[:=])?\\s*([0-9a-f]{{64}})$', 1), '')"
 
 
-@query("constitution_compose", f"WITH v AS (SELECT DISTINCT constitution_id, published_at, {HASH_SQL.format('content_hash')} AS own, {HASH_SQL.format('supersedes_version_hash')} AS before FROM constitution_versions) SELECT constitution_id, own, before IS NOT DISTINCT FROM lag(own) OVER (PARTITION BY constitution_id ORDER BY published_at, own) AS linked FROM v")
+@query("constitution_compose", f"WITH v AS (SELECT DISTINCT constitution_id, published_at, {HASH_SQL.format('content_hash')} AS own, {HASH_SQL.format('supersedes_version_hash')} AS before FROM constitution_versions) SELECT constitution_id, own, before IS NOT DISTINCT FROM lag(own) OVER (PARTITION BY constitution_id ORDER BY published_at NULLS FIRST, own) AS linked FROM v")
 def constitution_compose(spark: SparkSession, d: str) -> DataFrame:
     """Whether each version chains to the one published before it."""
     rows = table(spark, d, "constitution_versions").select("constitution_id", "published_at", hash_key("content_hash").alias("own"), hash_key("supersedes_version_hash").alias("before")).distinct()

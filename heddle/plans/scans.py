@@ -46,7 +46,7 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("score_id", "r.run_id", "r.latency_ms", "r.loaded_at")
 
 
-@query("upsert_capped", f"WITH {ENTRIES_SQL} SELECT tenant_id, ns, count(*) FILTER (rn <= 100) AS stored, count(*) FILTER (rn > 100) AS refused FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, ns ORDER BY created_at, id) AS rn FROM e) GROUP BY tenant_id, ns")
+@query("upsert_capped", f"WITH {ENTRIES_SQL} SELECT tenant_id, ns, count(*) FILTER (rn <= 100) AS stored, count(*) FILTER (rn > 100) AS refused FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, ns ORDER BY created_at NULLS FIRST, id) AS rn FROM e) GROUP BY tenant_id, ns")
 def upsert_capped(spark: SparkSession, d: str) -> DataFrame:
     """A batch into namespaces with room for 100 entries each: what each one stores and refuses."""
     sizes = entries(spark, d).groupBy("tenant_id", "ns").agg(F.count("*").alias("n"))
