@@ -47,7 +47,7 @@ class MultiIndex:
     symbols: int = 5
     miss: float = 0.01
     sized_for: float = 0.55
-    sketch: int = 5
+    sketch: int = 14
     common: float = 0.02
     least_weight: float = 0.25
     block: int = 256
@@ -94,18 +94,22 @@ def common_words(classes: DataFrame, params: MultiIndex) -> dict[int, float]:
     return {r["word"]: max(params.least_weight, params.common * total / r["n"]) for r in rows}
 
 
+#: The half of a class number that goes with a table entry, and the other half.
+HALF, LOW = np.uint64(0xFFFFFFFF00000000), np.int64(0xFFFFFFFF)
+
+
 def _table_keys(params: MultiIndex, weights: dict[int, float]):  # noqa: ANN202
     segments, symbols = params.segments, params.symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = mix(np.arange(1, segments * symbols + 17, dtype=np.uint64) + np.uint64(params.seed << 32))
+        salts = mix(np.arange(1, segments * symbols + 41, dtype=np.uint64) + np.uint64(params.seed << 32))
         place = mix(np.arange(1, segments * symbols + 1, dtype=np.uint64) + np.uint64(977 << 32)).reshape(segments, symbols)
         drawn: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             out = np.empty((batch.num_rows, segments * symbols), np.uint64)
-            sketches = np.empty(batch.num_rows, np.uint64)
+            sketches = np.empty((batch.num_rows, 40), np.uint64)
             for row, raw in enumerate(batch.column(1).to_pylist()):
                 members = np.frombuffer(raw, np.uint32).tolist()
                 if len(drawn) > 1 << 16:
@@ -117,20 +121,23 @@ def _table_keys(params: MultiIndex, weights: dict[int, float]):  # noqa: ANN202
                         drawn[w] = (-np.log(uniform) / weights.get(w, 1.0)).astype(np.float32)
                 first = np.stack([drawn[w] for w in members]).argmin(axis=0)
                 drawn_words = np.asarray(members, np.uint64)[first]
-                sketches[row] = ((mix(drawn_words[segments * symbols :]) & np.uint64(15)) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum()
+                sketches[row] = mix(drawn_words[segments * symbols :]) & np.uint64(15)
                 chosen = drawn_words[: segments * symbols].reshape(segments, symbols)
                 part = mix((chosen << np.uint64(20)) ^ place)
                 # The ball of radius one: each symbol in turn is left open.
                 out[row] = (part.sum(axis=1, keepdims=True) - part + place).reshape(-1)
             keys = mix(out).astype(np.int64).reshape(-1)
             wide = lambda x: pa.array(np.repeat(x, segments * symbols))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), wide(batch.column(0).to_numpy()), wide(sketches.astype(np.int64))], names=["key", "class", "sketch"])
+            nibbles = np.arange(16, dtype=np.uint64) * np.uint64(4)
+            # Half of the class number and eight sketch symbols share one word, the other 32 symbols fill two more.
+            tagged = (batch.column(0).to_numpy().view(np.uint64) & HALF) | (sketches[:, :8] << nibbles[:8]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), wide(tagged.astype(np.int64)), *[wide((sketches[:, i : i + 16] << nibbles).sum(axis=1).astype(np.int64)) for i in (8, 24)]], names=["key", "tagged", "s1", "s2"])
 
     return run
 
 
 def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many of the 16 sketch symbols agree."""
+    """How many of the four-bit symbols of two words agree."""
     z = (x ^ y).astype(np.uint64)
     z |= z >> np.uint64(1)
     z |= z >> np.uint64(2)
@@ -141,26 +148,29 @@ def _rows_to_pairs(params: MultiIndex):  # noqa: ANN202
     """Pairs of members of table rows, read as runs of sorted keys; members of too long rows go on unpaired."""
     block = params.block
 
-    def close(keys: np.ndarray, classes: np.ndarray, sketches: np.ndarray, large: int | None) -> pa.RecordBatch:
+    def close(keys: np.ndarray, classes: np.ndarray, s1: np.ndarray, s2: np.ndarray, large: int | None) -> pa.RecordBatch:
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(keys)))
         long = np.repeat(sizes, sizes) > block
         if large is not None:
             long |= keys == large
         place = np.arange(len(keys)) - np.repeat(starts, sizes)
-        out = [(classes[long], np.full(int(long.sum()), -1), keys[long])]
+        out = [(classes[long] >> 32, np.full(int(long.sum()), -1), keys[long])]
         paired = [np.zeros(int(long.sum()), bool)]
         for step in range(1, int(min(block, sizes.max(initial=0)))):
             later = np.flatnonzero((place >= step) & ~long)
             x, y = classes[later - step], classes[later]
-            real = (x != y) & (agreeing(sketches[later - step], sketches[later]) >= params.sketch)
-            out.append((np.minimum(x, y)[real], np.maximum(x, y)[real], np.zeros(int(real.sum()), np.int64)))
+            # The lower half of a tagged word holds eight symbols; the upper half is masked, and so agrees in eight.
+            agree = agreeing(s1[later - step], s1[later]) + agreeing(s2[later - step], s2[later]) + agreeing(x & LOW, y & LOW) - 8
+            real = (x != y) & (agree >= params.sketch)
+            x, y = x[real] >> 32, y[real] >> 32
+            out.append((np.minimum(x, y), np.maximum(x, y), np.zeros(int(real.sum()), np.int64)))
             paired.append(np.ones(int(real.sum()), bool))
         columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
         return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(paired))], names=["a", "b", "key", "paired"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 4
         large: int | None = None
         for batch in batches:
             joined = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
@@ -221,16 +231,18 @@ def similar_classes(classes: DataFrame, params: MultiIndex) -> DataFrame:
     All alike pairs of table rows of up to ``block`` members come out, of
     longer rows as many as join the same classes.
     """
-    keys = classes.select("class", "words").mapInArrow(_table_keys(params, common_words(classes, params)), "key long, class long, sketch long")
-    rows = keys.repartition("key").sortWithinPartitions("key", "class")
+    keys = classes.select("class", "words").mapInArrow(_table_keys(params, common_words(classes, params)), "key long, tagged long, s1 long, s2 long")
+    rows = keys.repartition("key").sortWithinPartitions("key", "tagged")
     found = cut(rows.mapInArrow(_rows_to_pairs(params), "a long, b long, key long, paired boolean"))
-    pairs = cut(found.where("paired").select("a", "b").distinct())
-    # Only word sets of some pair travel; their ids are broadcast up to a million (under 16 MB).
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-    needed = classes.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "class", "left_semi")
-    left = needed.select(F.col("class").alias("a"), F.col("words").alias("wa"))
-    right = needed.select(F.col("class").alias("b"), F.col("words").alias("wb"))
-    sides = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
+    # Pairs are of half class numbers; the few classes that share one are all verified.
+    pairs = cut(found.where("paired").select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")).distinct())
+    halved = classes.select(F.shiftright("class", 32).cast("int").alias("half"), "class", "words")
+    # Only word sets of some pair travel; their numbers are broadcast up to a million (under 16 MB).
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("half")).distinct())
+    needed = halved.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "half", "left_semi")
+    left = needed.select(F.col("half").alias("a"), F.col("class").alias("ca"), F.col("words").alias("wa"))
+    right = needed.select(F.col("half").alias("b"), F.col("class").alias("cb"), F.col("words").alias("wb"))
+    sides = pairs.join(left, "a").join(right, "b").where("ca <> cb").select("ca", "cb", "wa", "wb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +250,7 @@ def similar_classes(classes: DataFrame, params: MultiIndex) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(alike), batch.column(1).filter(alike)], names=["a", "b"])
 
     few = sides.mapInArrow(verify, "a long, b long")
-    large = found.where(~F.col("paired")).select("key", F.col("a").alias("class"))
+    large = found.where(~F.col("paired")).select("key", F.col("a").cast("int").alias("half")).join(halved.select("half", "class"), "half").select("key", "class")
     large = large.join(large.groupBy("key").agg(F.ceil(F.count("*") / params.block).cast("int").alias("parts")), "key")
     spread = large.select("key", "class", "parts", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
     spread = spread.select("key", "class", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
