@@ -216,7 +216,7 @@ def split(df: DataFrame, key: str, text: str, params: Pieces | None = None) -> D
     based = tabled.select("key", "range_no", "atoms").join(sums.select("key", "range_no", "start", "base"), ["key", "range_no"])
     parts = based.select("key", "start", "base", "atoms").mapInArrow(buckets, "key long, bucket long, best struct<s:long,tok:long,pos:long>, places binary")
     parts = cut(parts)
-    docs = sums.groupBy("key").agg(F.max("whole").alias("whole"), F.max("stop").alias("stop"))
+    docs = cut(sums.groupBy("key").agg(F.max("whole").alias("whole"), F.max("stop").alias("stop")))
     cuts = parts.where("best is not null").groupBy("key", "bucket").agg(F.max("best").alias("b"))
     cuts = cuts.join(docs.select("key", "whole"), "key").where(F.col("bucket") < F.ceil(F.col("whole") / stride) - 1)
     cuts = cuts.select("key", (F.col("bucket") + 1).alias("k"), F.col("b.tok").alias("tok"), F.col("b.pos").alias("pos"))
@@ -243,7 +243,11 @@ def split(df: DataFrame, key: str, text: str, params: Pieces | None = None) -> D
     low, high = F.floor(F.col("start_char") / params.size) - 1, F.floor(F.col("end_char") / params.size)
     touched = pieces.withColumn("range_no", F.explode(F.sequence(F.greatest(low, F.lit(0)).cast("int"), high.cast("int"))))
 
-    # Ranges are read again rather than kept; only those of texts above the limit travel.
+    # Ranges are read again rather than kept.  Up to a million numbers of long texts (under 16 MB) are broadcast,
+    # so that only ranges of long texts travel; beyond that all texts with more bytes than the limit do.
+    if docs.count() <= 1_000_000:
+        bodies = bodies.join(F.broadcast(docs.select("key")), "key", "left_semi")
+
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_own(body, number, last, params) for number, last, body in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)]
