@@ -82,7 +82,20 @@ def _entry_texts(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
-@REGISTRY.query("p3_found")
+_P3_SQL = """
+WITH RECURSIVE t AS (
+  SELECT id, min(text) AS text FROM (SELECT id, text FROM entries UNION ALL SELECT entry_a.id, entry_a.text FROM duplicate_pairs UNION ALL SELECT entry_b.id, entry_b.text FROM duplicate_pairs)
+  WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id),
+s AS (SELECT id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS ws FROM t),
+w AS (SELECT id, len(ws) AS n, unnest(ws) AS word FROM s WHERE len(ws) >= 8),
+p AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.60 * (a.n + b.n - count(*)) - 1e-9),
+u AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b)
+SELECT DISTINCT a AS id_a, b AS id_b FROM r WHERE a < b
+"""
+
+
+@REGISTRY.query("p3_found", _P3_SQL)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.pairs_of_groups(near_duplicates.groups(_entry_texts(spark, d)))
 
@@ -102,7 +115,16 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(items, "doc_id", 2048)
 
 
-@REGISTRY.query("p9_found")
+_P9_SQL = """
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+ig AS (SELECT id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
+SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (g)
+"""
+
+
+@REGISTRY.query("p9_found", _P9_SQL)
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select("doc_id", "item_id")
 
