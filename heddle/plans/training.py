@@ -88,7 +88,29 @@ def _tree(c: str) -> F.Column:
     return F.when(F.col(c).startswith("e:"), "edges").otherwise("constitution")
 
 
-@REGISTRY.query("p5_found")
+_P5_SQL = """
+WITH RECURSIVE e AS (
+  SELECT source_id AS s, target_id AS t, recorded_at FROM edges
+  WHERE regexp_replace(lower(relation), '[^a-z0-9]', '', 'g') = 'parentchild' AND source_id IS NOT NULL AND target_id IS NOT NULL),
+v AS (
+  SELECT nullif(regexp_extract(lower(trim(content_hash)), '^(?:sha-?256[:=])?\\s*([0-9a-f]{64})$', 1), '') AS own,
+    nullif(regexp_extract(lower(trim(supersedes_version_hash)), '^(?:sha-?256[:=])?\\s*([0-9a-f]{64})$', 1), '') AS before, published_at
+  FROM constitution_versions),
+up AS (
+  SELECT 'edges' AS tree, t::VARCHAR AS node, s::VARCHAR AS parent FROM e QUALIFY row_number() OVER (PARTITION BY t ORDER BY recorded_at DESC NULLS LAST, s DESC) = 1
+  UNION ALL
+  SELECT * FROM (SELECT 'constitution', own, before FROM v WHERE own IS NOT NULL AND before IS NOT NULL QUALIFY row_number() OVER (PARTITION BY own ORDER BY published_at DESC NULLS LAST, before DESC) = 1)),
+nodes AS (
+  SELECT 'edges' AS tree, s::VARCHAR AS node FROM e UNION SELECT 'edges', t::VARCHAR FROM e
+  UNION SELECT 'constitution', own FROM v WHERE own IS NOT NULL UNION SELECT 'constitution', before FROM v WHERE own IS NOT NULL AND before IS NOT NULL),
+r(tree, node, root, depth) AS (
+  SELECT tree, node, node, 0 FROM nodes ANTI JOIN up USING (tree, node)
+  UNION ALL SELECT r.tree, up.node, r.root, r.depth + 1 FROM r JOIN up ON up.tree = r.tree AND up.parent = r.node)
+SELECT n.tree, n.node AS node_key, coalesce(r.root, 'cycle') AS root_key, coalesce(r.depth, -1)::INTEGER AS level_no FROM nodes n LEFT JOIN r USING (tree, node)
+"""
+
+
+@REGISTRY.query("p5_found", _P5_SQL)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     out = hierarchy.resolve(*_pointers(spark, d))
     return out.select(_tree("node").alias("tree"), _split("node").alias("node_key"), F.when(F.col("is_cycle"), "cycle").otherwise(_split("root")).alias("root_key"), F.col("depth").cast("int").alias("level_no"))
