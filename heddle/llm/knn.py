@@ -5,7 +5,8 @@ sorted array is kept as base-level bucket numbers (one byte each); a window
 centred on the query covers the buckets within a radius, and virtual rehashing
 widens it by merging base buckets, without hashing again.  A vector that falls
 into the windows of enough projections collides with the query and is verified
-by its exact cosine.
+by its exact cosine: all that collide are, as single pairs where a query has
+few of them, else by products of blocks where its cell lies.
 
 Windows of single projections alone hold a fixed share of all vectors, so
 counting them over the whole collection would be quadratic.  The vectors are
@@ -40,8 +41,9 @@ class Counting:
     keep tables (and so what is shuffled) few at the cost of more counting;
     ``projections`` the number of single projections, of which ``first`` are
     counted for all pairs of a cell and the others only for pairs that may
-    still reach the threshold; ``budget`` the candidates a query verifies in
-    one cell at most, as a multiple of k, nearest estimates first.
+    still reach the threshold; ``sent`` the candidates of a query in one cell, as
+    a multiple of k, up to which they are sent on as pairs.  A query with more
+    is verified inside the cell; none is left out.
     """
 
     dim: int = 64
@@ -52,7 +54,7 @@ class Counting:
     projections: int = 48
     first: int = 24
     width: float = 1.5
-    budget: int = 4
+    sent: int = 4
     seed: int = 7
 
     @property
@@ -76,10 +78,9 @@ class Counting:
         meet = (1 - math.acos(self.floor) / math.pi) ** bits
         return max(1, math.ceil(math.log(self.miss) / math.log(1 - meet)))
 
-    def levels(self) -> list[int]:
-        """Window radii in base buckets, from narrow to the floor's."""
-        full = self.width * self.radius / STEP
-        return [max(1, round(full / 2)), max(1, round(full))]
+    def reach(self) -> int:
+        """Window radius in base buckets at the floor."""
+        return max(1, round(self.width * self.radius / STEP))
 
     def threshold(self, m: int) -> int:
         """Collisions among m projections that a vector at the floor has with probability 0.999."""
@@ -139,71 +140,121 @@ def _split_large(routed: DataFrame, params: Counting, target: float) -> DataFram
     return routed
 
 
-def count_collisions(h: np.ndarray, k: int, params: Counting, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (query row, other row) of one cell.
+def count_collisions(h: np.ndarray, k: int, params: Counting, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query rows, other rows, asks, held) of one cell: which rows reach the threshold in the floor's windows.
 
-    For each query the windows are widened level by level until k vectors
-    reach the threshold; at the last level all that reach it are candidates.
+    Pairs come out for queries with up to ``sent`` * k such rows.  Queries with
+    more are marked in ``asks``, and all rows that reach their thresholds in ``held``.
     """
     n = len(h)
-    levels = params.levels()
+    reach = params.reach()
     first, whole = params.threshold(params.first), params.threshold(params.projections)
     columns = np.ascontiguousarray(h[:, : params.first].T)
-    wide = np.uint8(min(255, 2 * levels[-1]))
-    queries, others = [], []
+    wide = np.uint8(min(255, 2 * reach))
+    asks, held = np.zeros(n, bool), np.zeros(n, bool)
+    queries, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for start in range(0, n, block):
         stop = min(n, start + block)
         counts = np.zeros((stop - start, n), np.uint8)
         for column in columns:
             # Window test by one unsigned comparison: 0 <= x - (q - R) <= 2R.
-            low = column[start:stop].astype(np.int16) - levels[-1]
+            low = column[start:stop].astype(np.int16) - reach
             offset = (column[None, :] - (low & 255).astype(np.uint8)[:, None]).astype(np.uint8)
             counts += offset <= wide
         a, b = np.nonzero(counts >= first)
-        other = a + start != b
+        a += start
+        other = a != b
         a, b = a[other], b[other]
-        if not len(a):
-            continue
+        hit = np.zeros(len(a), bool)
         for part in range(0, len(a), 1 << 18):
-            pa_, pb = a[part : part + (1 << 18)], b[part : part + (1 << 18)]
-            gap = np.abs(h[pa_ + start].astype(np.int16) - h[pb])
-            hits = np.stack([(gap <= r).sum(1) >= whole for r in levels])
-            keep = hits[-1]
-            if not keep.any():
-                continue
-            pa_, pb, hits = pa_[keep], pb[keep], hits[:, keep]
-            estimate = np.square(gap[keep].astype(np.int32)).sum(1)
-            queries.append(np.stack([pa_ + start, pb, estimate, hits[0]]))
-    if not queries:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b, estimate, narrow = np.concatenate(queries, axis=1)
-    # A query with k collisions in the narrow windows is not widened.
-    enough = np.bincount(a[narrow == 1], minlength=n) >= k
-    keep = ~enough[a] | (narrow == 1)
-    a, b, estimate = a[keep], b[keep], estimate[keep]
-    order = np.lexsort((b, estimate, a))
-    a, b = a[order], b[order]
-    place = np.arange(len(a)) - np.searchsorted(a, a)
-    chosen = place < params.budget * k
-    return a[chosen], b[chosen]
-
-
-def candidates(classes: DataFrame, n: int, k: int, params: Counting) -> DataFrame:
-    """Distinct (a, b) of vectors that collide in some cell; ``classes``: (id, vec)."""
-    # Routing is cheaper to repeat than to keep: nothing of it is written before the one shuffle by cell.
-    routed = classes.select("id", "vec").mapInArrow(_route(params, n), "cell long, id long, h binary")
-    routed = _split_large(routed, params, params.target(n))
+            own = slice(part, part + (1 << 18))
+            hit[own] = (np.abs(h[a[own]].astype(np.int16) - h[b[own]]) <= reach).sum(1) >= whole
+        a, b = a[hit], b[hit]
+        asks[start:stop] = np.bincount(a - start, minlength=stop - start) > params.sent * k
+        crowded = asks[a]
+        held[b[crowded]] = True
+        queries.append(a[~crowded])
+        others.append(b[~crowded])
+    return np.concatenate(queries), np.concatenate(others), asks, held
+
+
+def collisions(routed: DataFrame, k: int, params: Counting) -> DataFrame:
+    """(a, b, cell, asks): pairs (a < b) to verify, and with a cell the rows (a) to verify inside it."""
 
     def run(group: pa.Table) -> pa.Table:
         ids = group["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         h = np.frombuffer(b"".join(group["h"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-        a, b = count_collisions(h, k, params)
+        a, b, asks, held = count_collisions(h, k, params)
         ids = ids[order]
-        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+        # Rows collide mutually: a pair goes on once, whichever side asks.
+        a, b = np.divmod(np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b)), len(ids))
+        inside = np.flatnonzero(asks | held)
+        none, cell = pa.nulls(len(a), pa.int64()), pa.array(np.full(len(inside), group["cell"][0].as_py()), pa.int64())
+        pairs = pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64()), "cell": none, "asks": pa.nulls(len(a), pa.bool_())})
+        rows = pa.table({"a": pa.array(ids[inside], pa.int64()), "b": pa.nulls(len(inside), pa.int64()), "cell": cell, "asks": pa.array(asks[inside])})
+        return pa.concat_tables([pairs, rows])
+
+    return routed.groupBy("cell").applyInArrow(run, "a long, b long, cell long, asks boolean")
+
+
+def nearest(asked: np.ndarray, x: np.ndarray, held: np.ndarray, y: np.ndarray, k: int, floor: float, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cosine): the k best of the rows ``y`` for each of the queries ``x``, by exact cosine of at least the floor.
 
-    found = routed.groupBy("cell").applyInArrow(run, "a long, b long")
-    return found.distinct()
+    ``asked`` and ``held`` are their ids, ``held`` in order; equal cosines go by the smaller id.
+    """
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    norms = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+    u, v = x / np.sqrt(norms[0])[:, None], (y / np.sqrt(norms[1])[:, None]).T
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for start in range(0, len(x), block):
+        ids = asked[start : start + block]
+        c = u[start : start + block] @ v
+        own = np.minimum(np.searchsorted(held, ids), len(held) - 1)
+        same = np.flatnonzero(held[own] == ids)
+        c[same, own[same]] = -2
+        # Products round otherwise than single cosines: what is within rounding of the k-th best is computed singly.
+        bound = np.full(len(ids), floor)
+        more = np.flatnonzero((c >= floor).sum(1) > k)
+        if len(more):
+            bound[more] = np.partition(c[more], len(held) - k, axis=1)[:, len(held) - k]
+        i, j = np.nonzero(c >= bound[:, None] - 1e-12)
+        cosine = np.empty(len(i))
+        for part in range(0, len(i), 1 << 16):
+            o = slice(part, part + (1 << 16))
+            cosine[o] = np.einsum("ij,ij->i", x[start + i[o]], y[j[o]]) / np.sqrt(norms[0][start + i[o]] * norms[1][j[o]])
+        order = np.lexsort((held[j], -cosine, i))
+        i, j, cosine = i[order], j[order], cosine[order]
+        keep = (np.arange(len(i)) - np.searchsorted(i, i) < k) & (cosine >= floor)
+        out.append((ids[i[keep]], held[j[keep]], cosine[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _inside(rows: DataFrame, vectors: DataFrame, k: int, params: Counting) -> DataFrame:
+    """(a, b, cosine): the best k of the rows of its cell for each row that asks; ``rows``: (cell, id, asks)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        ids, asks = group["id"].to_numpy(), group["asks"].to_numpy()
+        x = matrix(group["vec"], params.dim)
+        a, b, cosine = nearest(ids[asks], x[asks], ids, x, k, params.floor)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": cosine})
+
+    return rows.join(vectors, "id").groupBy("cell").applyInArrow(run, "a long, b long, cosine double")
+
+
+def verified(classes: DataFrame, n: int, k: int, params: Counting) -> DataFrame:
+    """Distinct (a, b, cosine) of vectors that collide in some cell, by exact cosine of at least the floor; ``classes``: (id, vec)."""
+    vectors = classes.select("id", "vec")
+    # Routing is cheaper to repeat than to keep: nothing of it is written before the one shuffle by cell.
+    routed = vectors.mapInArrow(_route(params, n), "cell long, id long, h binary")
+    routed = _split_large(routed, params, params.target(n))
+    found = cut(collisions(routed, k, params))
+    single = _cosines(found.where("cell is null").select("a", "b").distinct(), vectors, params.dim).where(F.col("cosine") >= params.floor)
+    sides = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("s")
+    single = single.select(sides, "cosine").select("s.a", "s.b", "cosine")
+    inside = _inside(found.where("cell is not null").select("cell", F.col("a").alias("id"), "asks"), vectors, k, params)
+    return single.unionByName(inside).dropDuplicates(["a", "b"])
 
 
 def _cosines(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
@@ -245,8 +296,7 @@ def neighbours(vectors: DataFrame, k: int, params: Counting | None = None) -> Da
     heads = local.withColumn("pos", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))).where(F.col("pos") <= k + 1)
     heads = cut(heads.select(F.min("id").over(Window.partitionBy("k1", "k2")).alias("rep"), "id", "pos"))
     n = classes.count()
-    pairs = candidates(classes, n, k, params)
-    exact = _cosines(pairs, classes.select("id", "vec"), params.dim).where(F.col("cosine") >= params.floor)
+    exact = verified(classes, n, k, params)
     best = exact.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("_r") <= k)
     best = best.select(F.col("a").alias("rep"), F.col("b").alias("other"), "cosine")
     own = heads.select(F.col("rep"), F.col("id").alias("neighbour"), F.lit(1.0).alias("cosine"))

@@ -60,6 +60,28 @@ def test_dense_cell_is_split_and_still_found(spark):
     assert len(got) >= 0.99 * 900 and sum(len(v) == 5 for v in got.values()) >= 0.9 * 900
 
 
+def test_dense_cluster_keeps_its_true_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(64) + 0.29 * rng.standard_normal((700, 64))
+    df = spark.createDataFrame([(i, stored(v)) for i, v in enumerate(x)], "id long, json_data string")
+    assert knn.Counting().bits(len(x)) == 0
+    got = {(r["id"], r["neighbour"]) for r in knn.neighbours(vectors.read_vectors(df, "id", "json_data"), 10).collect()}
+    want = brute(x, 10, 0.90)
+    assert len(want) > 6000 and len(got & want) >= 0.995 * len(want) and len(got) <= len(want)
+
+
+def test_nearest_ranks_copies_that_differ_in_the_last_bit():
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal(64)
+    x = np.stack([v * s for s in np.linspace(1, 3, 300)]).astype("<f4")
+    a, b, cosine = knn.nearest(np.arange(300), x, np.arange(300), x, 10, 0.90, block=64)
+    y = x.astype(np.float64)
+    for i in (0, 77, 299):
+        c = np.array([np.einsum("j,j->", y[i], y[j]) / np.sqrt(np.einsum("j,j->", y[i], y[i]) * np.einsum("j,j->", y[j], y[j])) for j in range(300)])
+        c[i] = -2
+        assert len(b[a == i]) == 10 and np.allclose(cosine[a == i], np.sort(c)[::-1][:10], rtol=0, atol=1e-15)
+
+
 def test_unusable_vectors(spark):
     good = np.ones(64)
     bad = [None, "", "{}", "{cut", json.dumps({"vector": None}), stored(np.zeros(64)), stored(np.ones(32)), stored([float("nan")] * 64), json.dumps({"vector": [1] * 63 + ["x"]}), json.dumps({"vector": "@@@"}), '{"vector": [1, 2'] + [json.dumps({"vector": [True] * 64})]
