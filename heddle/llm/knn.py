@@ -43,7 +43,8 @@ class Counting:
     counted for all pairs of a cell and the others only for pairs that may
     still reach the threshold; ``sent`` the candidates of a query in one cell, as
     a multiple of k, up to which they are sent on as pairs.  A query with more
-    is verified inside the cell; none is left out.
+    is verified inside the cell; none is left out.  ``part`` bounds the rows of
+    a cell that one task verifies against as many others.
     """
 
     dim: int = 64
@@ -55,6 +56,7 @@ class Counting:
     first: int = 24
     width: float = 1.5
     sent: int = 4
+    part: int = 8192
     seed: int = 7
 
     @property
@@ -114,32 +116,6 @@ def _route(params: Counting, n: int):  # noqa: ANN202
     return run
 
 
-def _split_large(routed: DataFrame, params: Counting, target: float) -> DataFrame:
-    """Cells above four times the target are split at the medians of their own projections.
-
-    A cell around a dense cluster is not cut by planes through the origin, but
-    it is by medians inside it.  At most three rounds of at most 12 bits.
-    Sizes and medians of too large cells alone are joined back, by broadcast
-    while there are at most 20000 of them (under 4 MB), else by a shuffle.
-    """
-    take = 12
-    for level in range(3):
-        large = cut(routed.groupBy("cell").agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * target))
-        number = large.count()
-        if number == 0:
-            return routed
-        small = F.broadcast if number <= 20_000 else (lambda df: df)
-        at = [(level * take + j) % params.projections for j in range(take)]
-        value = lambda j: F.conv(F.hex(F.substring("h", j + 1, 1)), 16, 10).cast("int")
-        inside = routed.join(small(large), "cell")
-        medians = cut(inside.groupBy("cell").agg(F.first("_n").alias("_n"), *[F.percentile_approx(value(j), 0.5, 1000).alias(f"_m{j}") for j in at]))
-        need = F.ceil(F.log2(F.col("_n") / target))
-        parts = [F.when(need > i, (value(j) > F.col(f"_m{j}")).cast("int")).otherwise(F.lit(0)) for i, j in enumerate(at)]
-        split = routed.join(small(medians), "cell", "left")
-        routed = split.select(F.when(F.col("_n").isNotNull(), F.xxhash64("cell", F.lit(level), *parts)).otherwise(F.col("cell")).alias("cell"), "id", "h")
-    return routed
-
-
 def count_collisions(h: np.ndarray, k: int, params: Counting, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query rows, other rows, asks, held) of one cell: which rows reach the threshold in the floor's windows.
 
@@ -203,6 +179,8 @@ def nearest(asked: np.ndarray, x: np.ndarray, held: np.ndarray, y: np.ndarray, k
 
     ``asked`` and ``held`` are their ids, ``held`` in order; equal cosines go by the smaller id.
     """
+    if not len(y):
+        x, asked = x[:0], asked[:0]
     x, y = x.astype(np.float64), y.astype(np.float64)
     norms = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
     u, v = x / np.sqrt(norms[0])[:, None], (y / np.sqrt(norms[1])[:, None]).T
@@ -231,30 +209,51 @@ def nearest(asked: np.ndarray, x: np.ndarray, held: np.ndarray, y: np.ndarray, k
 
 
 def _inside(rows: DataFrame, vectors: DataFrame, k: int, params: Counting) -> DataFrame:
-    """(a, b, cosine): the best k of the rows of its cell for each row that asks; ``rows``: (cell, id, asks)."""
+    """(a, b, cosine): the best k of the rows of its cell for each row that asks; ``rows``: (cell, id, asks).
+
+    Cells of more than ``part`` rows meet part by part, so that a task holds two parts.
+    """
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / params.part).cast("int").alias("parts"))
+    spread = rows.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    spread = spread.select("cell", "id", "asks", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    spread = spread.select("cell", "id", "asks", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
-        ids, asks = group["id"].to_numpy(), group["asks"].to_numpy()
+        ids, asks, own = (group[c].to_numpy() for c in ("id", "asks", "own"))
         x = matrix(group["vec"], params.dim)
-        a, b, cosine = nearest(ids[asks], x[asks], ids, x, k, params.floor)
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        found = []
+        for p, q in {(i, j), (j, i)}:
+            asking, held = asks & (own == p), own == q
+            found.append(nearest(ids[asking], x[asking], ids[held], x[held], k, params.floor))
+        a, b, cosine = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": cosine})
 
-    return rows.join(vectors, "id").groupBy("cell").applyInArrow(run, "a long, b long, cosine double")
+    return spread.join(vectors, "id").groupBy("cell", "i", "j").applyInArrow(run, "a long, b long, cosine double")
 
 
 def verified(classes: DataFrame, n: int, k: int, params: Counting) -> DataFrame:
-    """Distinct (a, b, cosine) of vectors that collide in some cell, by exact cosine of at least the floor; ``classes``: (id, vec)."""
+    """Distinct (a, b, cosine) of vectors that collide in some cell, by exact cosine of at least the floor; ``classes``: (id, vec).
+
+    Cells above four times the target are not counted: all their pairs are
+    verified.  The numbers of these cells are joined back, by broadcast while
+    there are at most 20000 of them, else by a shuffle.
+    """
     vectors = classes.select("id", "vec")
     # Routing is cheaper to repeat than to keep: nothing of it is written before the one shuffle by cell.
     routed = vectors.mapInArrow(_route(params, n), "cell long, id long, h binary")
-    routed = _split_large(routed, params, params.target(n))
-    found = cut(collisions(routed, k, params))
+    large = cut(routed.groupBy("cell").agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * params.target(n)).select("cell"))
+    number = large.count()
+    whole = F.broadcast(large) if number <= 20_000 else large
+    found = cut(collisions(routed.join(whole, "cell", "left_anti") if number else routed, k, params))
     single = _cosines(found.where("cell is null").select("a", "b").distinct(), vectors, params.dim).where(F.col("cosine") >= params.floor)
     sides = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("s")
     single = single.select(sides, "cosine").select("s.a", "s.b", "cosine")
-    inside = _inside(found.where("cell is not null").select("cell", F.col("a").alias("id"), "asks"), vectors, k, params)
-    return single.unionByName(inside).dropDuplicates(["a", "b"])
+    rows = found.where("cell is not null").select("cell", F.col("a").alias("id"), "asks")
+    if number:
+        rows = rows.unionByName(routed.join(whole, "cell", "left_semi").select("cell", "id", F.lit(True).alias("asks")))
+    return single.unionByName(_inside(cut(rows), vectors, k, params)).dropDuplicates(["a", "b"])
 
 
 def _cosines(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:

@@ -70,6 +70,20 @@ def test_dense_cluster_keeps_its_true_neighbours(spark):
     assert len(want) > 6000 and len(got & want) >= 0.995 * len(want) and len(got) <= len(want)
 
 
+def test_hot_group_is_not_parted(spark):
+    rng = np.random.default_rng(9)
+    hot = rng.standard_normal(64) + 0.29 * rng.standard_normal((2500, 64))
+    x = np.vstack([hot, rng.standard_normal((1000, 64))])
+    df = spark.createDataFrame([(i, stored(v)) for i, v in enumerate(x)], "id long, json_data string")
+    rows = vectors.read_vectors(df, "id", "json_data")
+    want = brute(x, 10, 0.90)
+    for more in ({}, {"part": 300}):
+        params = knn.Counting(cell=128, **more)
+        assert params.bits(len(x)) > 3
+        got = {(r["id"], r["neighbour"]) for r in knn.neighbours(rows, 10, params).collect()}
+        assert len(want) > 24000 and len(got) <= len(want) and len(got & want) >= 0.97 * len(want)
+
+
 def test_nearest_ranks_copies_that_differ_in_the_last_bit():
     rng = np.random.default_rng(6)
     v = rng.standard_normal(64)
