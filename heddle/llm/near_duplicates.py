@@ -2,12 +2,12 @@
 
 A text's fingerprint is a string of symbols, each the first of its distinct
 words in one random order, so two texts differ in a symbol with probability
-one minus their word similarity.  Orders favour rare words (consistent
-weighted sampling), so that texts sharing only everyday words seldom agree.
+one minus their word similarity.  All words count alike here as they do in
+the similarity itself, so that a pair is found by what makes it a case.
 The fingerprint is cut into segments; for each segment the ball of Hamming
 radius one around it is enumerated (all ways to leave one symbol open) and
 looked up in that segment's table.  Texts that share a table row are verified
-by their complete word sets, in which all words count alike.
+by their complete word sets.
 
 Bit fingerprints would not do here: at a similarity of 0.60 about a fifth of
 all bits differ, and balls that wide hold a seventh of all segment values.
@@ -34,12 +34,8 @@ class MultiIndex:
     """``similarity``: least share of common words; ``least_words``: texts with fewer distinct words take no part.
 
     ``symbols`` in a segment and ``miss``, the probability to overlook a pair
-    whose weighted similarity is ``sized_for``, give the number of segments.
-    Words in more than ``common`` of all texts weigh less, in proportion, but
-    never less than ``least_weight``: the words of a family of copies that makes
-    up much of the collection must still decide.  There are at most (mean words
-    of a text / common) of them.  ``block`` bounds the
-    members of a table row that one task compares with one another.
+    whose similarity is ``sized_for``, give the number of segments.  ``block``
+    bounds the members of a table row that one task compares with one another.
     """
 
     similarity: float = 0.60
@@ -48,8 +44,6 @@ class MultiIndex:
     miss: float = 0.01
     sized_for: float = 0.55
     sketch: int = 14
-    common: float = 0.02
-    least_weight: float = 0.25
     block: int = 256
     seed: int = 11
 
@@ -78,27 +72,11 @@ def _word_sets(params: MultiIndex):  # noqa: ANN202
     return run
 
 
-def common_words(classes: DataFrame, params: MultiIndex) -> dict[int, float]:
-    """Weights below one by word: words in more than ``common`` of all word sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = b"".join(batch.column(0).to_pylist())
-            values, counts = np.unique(np.frombuffer(raw, np.uint32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "n"])
-
-    total = classes.count()
-    seen = classes.select("words").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # Bounded: at most (mean words / common) words can be in so many sets.
-    rows = seen.where(F.col("n") > F.lit(params.common * total)).collect()
-    return {r["word"]: max(params.least_weight, params.common * total / r["n"]) for r in rows}
-
-
 #: The half of a class number that goes with a table entry, and the other half.
 HALF, LOW = np.uint64(0xFFFFFFFF00000000), np.int64(0xFFFFFFFF)
 
 
-def _table_keys(params: MultiIndex, weights: dict[int, float]):  # noqa: ANN202
+def _table_keys(params: MultiIndex):  # noqa: ANN202
     segments, symbols = params.segments, params.symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +94,8 @@ def _table_keys(params: MultiIndex, weights: dict[int, float]):  # noqa: ANN202
                     drawn.clear()
                 for w in members:
                     if w not in drawn:
-                        # Exponential draws with the word's weight as rate: the smallest marks the symbol.
-                        uniform = ((mix(np.uint64(w * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) ^ salts) >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
-                        drawn[w] = (-np.log(uniform) / weights.get(w, 1.0)).astype(np.float32)
+                        # The word's place in each order: the smallest marks the symbol.
+                        drawn[w] = mix(np.uint64(w * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) ^ salts)
                 first = np.stack([drawn[w] for w in members]).argmin(axis=0)
                 drawn_words = np.asarray(members, np.uint64)[first]
                 sketches[row] = mix(drawn_words[segments * symbols :]) & np.uint64(15)
@@ -199,26 +176,51 @@ def similarity(x: bytes, y: bytes) -> float:
     return common / (len(both) - common)
 
 
+def shared_words(left: list[bytes], right: list[bytes], width: int = 4096) -> np.ndarray:
+    """How many words each packed word set of ``left`` shares with each of ``right``."""
+    sets = [np.frombuffer(w, np.uint32) for w in (*left, *right)]
+    row = np.repeat(np.arange(len(sets)), [len(w) for w in sets])
+    _, word, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Words of one set alone are shared by none.
+    number = np.cumsum(seen > 1) - 1
+    twice = seen[word] > 1
+    row, column = row[twice], number[word[twice]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, int((seen > 1).sum()), width):
+        own = slice(*np.searchsorted(column, [start, start + width]))
+        has = np.zeros((len(sets), width), np.float32)
+        has[row[own], column[own] - start] = 1
+        out += (has[: len(left)] @ has[len(left) :].T).astype(np.int64)
+    return out
+
+
 def _links_of_blocks(params: MultiIndex):  # noqa: ANN202
     """Verified links between the members of two blocks, as few as join what they join."""
 
     def run(group: pa.Table) -> pa.Table:
         members = sorted({*zip(group["class"].to_pylist(), group["part"].to_pylist(), group["words"].to_pylist())})
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        root = list(range(len(members)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+        left, right = ([m for m in members if m[1] == part] for part in (i, j))
         links = []
-        for x, (a, part, own) in enumerate(members):
-            for y in range(x):
-                if (part != members[y][1] or i == j) and find(x) != find(y) and similarity(own, members[y][2]) >= params.similarity - 1e-12:
-                    root[find(x)] = find(y)
-                    links.append((members[y][0], a))
+        if left and right:
+            common = shared_words([m[2] for m in left], [m[2] for m in right])
+            sizes = [np.array([len(m[2]) // 4 for m in side]) for side in (left, right)]
+            alike = common / (sizes[0][:, None] + sizes[1] - common) >= params.similarity - 1e-12
+            root: dict[int, int] = {m[0]: m[0] for m in members}
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for x, y in zip(*(c.tolist() for c in np.nonzero(alike)), strict=True):
+                a, b = find(left[x][0]), find(right[y][0])
+                if a != b:
+                    root[a] = b
+                    links.append((min(left[x][0], right[y][0]), max(left[x][0], right[y][0])))
         columns = list(zip(*links, strict=True)) if links else [[], []]
         return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
 
@@ -231,7 +233,7 @@ def similar_classes(classes: DataFrame, params: MultiIndex) -> DataFrame:
     All alike pairs of table rows of up to ``block`` members come out, of
     longer rows as many as join the same classes.
     """
-    keys = classes.select("class", "words").mapInArrow(_table_keys(params, common_words(classes, params)), "key long, tagged long, s1 long, s2 long")
+    keys = classes.select("class", "words").mapInArrow(_table_keys(params), "key long, tagged long, s1 long, s2 long")
     rows = keys.repartition("key").sortWithinPartitions("key", "tagged")
     found = cut(rows.mapInArrow(_rows_to_pairs(params), "a long, b long, key long, paired boolean"))
     # Pairs are of half class numbers; the few classes that share one are all verified.

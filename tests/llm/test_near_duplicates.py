@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from heddle.llm import near_duplicates as N
 from heddle.llm.components import components
 from heddle.llm.words import words
@@ -57,6 +58,28 @@ def test_long_table_rows_are_linked_by_blocks(spark):
     assert found(spark, rows, N.MultiIndex(block=8)) == {(i, j) for i in range(60) for j in range(i + 1, 60)}
 
 
+def test_pairs_of_frequent_words_with_rare_edits(spark):
+    rng = random.Random(12)
+    pool, vocabulary = [f"often{i}" for i in range(40)], [f"v{i}" for i in range(3000)]
+    rows = []
+    for pair in range(150):
+        base = rng.sample(pool, 24)
+        for side in "ab":
+            rows.append((len(rows), " ".join(base + [f"rare{pair}{side}{e}" for e in range(5 + pair % 4)])))
+    rows += [(len(rows) + i, " ".join(rng.sample(vocabulary, 30))) for i in range(600)]
+    want = brute(rows)
+    got = found(spark, rows)
+    assert len(want) == 150 and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_shared_words():
+    rng = random.Random(2)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randrange(1, 40))), np.uint32) for _ in range(30)]
+    packed = [s.tobytes() for s in sets]
+    for width in (7, 4096):
+        assert N.shared_words(packed[:12], packed[12:], width).tolist() == [[len({*x.tolist()} & {*y.tolist()}) for y in sets[12:]] for x in sets[:12]]
+
+
 def test_edge_cases(spark):
     long = " ".join(f"l{i}" for i in range(20000))
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "a b c d e f g"), (5, "a b c d e f g h"), (6, "A, b; c d e f g h!"), (6, "A, b; c d e f g h!"), (None, "a b c d e f g h"), (7, long), (8, long + " more")]
