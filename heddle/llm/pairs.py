@@ -129,9 +129,9 @@ def language(tokens: list[str]) -> str | None:
 
 
 def _pair_codes(codes: np.ndarray) -> np.ndarray:
-    """Hashes of the pairs of neighbouring words."""
+    """Hashes of the pairs of neighbouring words; a single word stands for itself."""
     if len(codes) < 2:
-        return np.zeros(0, np.int64)
+        return mix(codes).astype(np.int64)
     return np.unique(mix(codes[:-1] * np.uint64(31) + mix(codes[1:])).astype(np.int64))
 
 
@@ -169,9 +169,10 @@ def defects(df: DataFrame, key: str, prompt: str, sides: list[str], checks: Chec
                     asked, said = language(question), language(answer)
                     if asked and said and asked != said:
                         defect = "other_language"
-                declines = len(answer) >= 4 and DECLINES.search(text.lower().replace("’", "'")) is not None
+                declines = DECLINES.search(text.lower().replace("’", "'")) is not None
                 start = opening = pairs = None
-                if len(answer) >= 4:
+                # Shorter openings that do not decline cannot make a template.
+                if declines or len(answer) >= 4:
                     found = codes(answer)
                     opening = _pair_codes(found[: checks.opening])
                     signature = mix(opening.astype(np.uint64)[:, None] ^ salts[None, :]).min(axis=0).reshape(checks.bands, checks.rows)

@@ -115,6 +115,13 @@ def test_truncation_rules():
     assert not any(map(Q.is_truncated, whole)) and all(map(Q.is_truncated, cut))
 
 
+def test_short_refusals(spark):
+    topics = ["the moon", "bread", "old ships", "winter"]
+    rows = [(10 * j + i, f"Tell me all there is about {t}", a) for i, t in enumerate(topics) for j, a in enumerate(["I cannot answer.", "No puedo responder.", "Sorry.", "About forty metres."])]
+    got = {(r["id"], r["defect"]) for r in Q.defects(spark.createDataFrame(rows, "id long, ask string, answer string"), "id", "ask", ["answer"]).collect()}
+    assert {i for i, d in got if d == "refusal"} == {10 * j + i for j in range(3) for i in range(4)}
+
+
 def test_defects(spark):
     names = ["Arkol", "Bretis", "Coluna", "Dorath", "Elmira", "Fenton"]
     rows = []
