@@ -123,11 +123,20 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
     return out.select(_tree("node").alias("tree"), _split("node").alias("node_key"), F.array_join(F.transform("path", lambda x: F.substring(x, 3, 1 << 30)), "/").alias("path"), F.col("depth").cast("int").alias("level_no"))
 
 
+def _descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(hierarchy.resolve(*_pointers(spark, d), with_paths=True))
+
+
 @REGISTRY.query("p5_descendants")
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every node that has any, with their distance."""
+    return _descendants(spark, d).select(_tree("ancestor").alias("tree"), _split("ancestor").alias("node_key"), _split("node").alias("descendant_key"), F.col("distance").cast("int").alias("distance"))
+
+
+@REGISTRY.query("p5_descendant_counts")
+def p5_descendant_counts(spark: SparkSession, d: str) -> DataFrame:
     """Number of descendants and of children of every node that has any."""
-    rows = hierarchy.descendants(hierarchy.resolve(*_pointers(spark, d), with_paths=True))
-    out = rows.groupBy("ancestor").agg(F.count("*").alias("descendants"), F.count(F.when(F.col("distance") == 1, 1)).alias("children"), F.max("distance").alias("height"))
+    out = _descendants(spark, d).groupBy("ancestor").agg(F.count("*").alias("descendants"), F.count(F.when(F.col("distance") == 1, 1)).alias("children"), F.max("distance").alias("height"))
     return out.select(_tree("ancestor").alias("tree"), _split("ancestor").alias("node_key"), "descendants", "children", "height")
 
 

@@ -57,3 +57,14 @@ def test_descendants(spark):
     df = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "x")], "node string, parent string")
     rows = H.descendants(H.resolve(df, with_paths=True))
     assert {tuple(r) for r in rows.collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
+
+
+def test_descendants_query_names_them(spark):
+    import __spark_entry__ as E
+
+    d = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in E.queries()["p5_descendants"](spark, d).select("tree", "node_key", "descendant_key", "distance").collect()]
+    paths = [(r["tree"], r["path"].split("/")) for r in E.queries()["p5_paths"](spark, d).collect()]
+    assert rows and sorted(rows) == sorted((t, p[i], p[-1], len(p) - 1 - i) for t, p in paths for i in range(len(p) - 1))
+    counts = {(r["tree"], r["node_key"]): r["descendants"] for r in E.queries()["p5_descendant_counts"](spark, d).collect()}
+    assert sum(counts.values()) == len(rows)
