@@ -109,6 +109,38 @@ def test_split_covers_limits_and_overlaps(spark):
     assert S.split(df.limit(0), "doc_id", "text").count() == 0
 
 
+@needs_vocabulary
+def test_files_are_split_like_texts(spark, tmp_path):
+    rng = random.Random(8)
+    texts = {
+        "a.txt": "\n\n".join(" ".join(rng.choice(["alpha", "Beta.", "délta", "日本語"]) for _ in range(60)) for _ in range(80)),
+        "b.txt": "é" * 5000, "c.txt": "", "d.txt": "tiny", "e.txt": "word " * 700,
+    }
+    (tmp_path / "sub").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "sub" / name).write_bytes(text.encode())
+    params = S.Pieces(size=900, halo=64)
+    got = {}
+    for r in S.split_files(spark, [str(tmp_path)], params).orderBy("path", "piece_no").collect():
+        got.setdefault(r["path"].rsplit("/", 1)[1], []).append(r)
+    assert set(got) == {n for n, t in texts.items() if len(encode(t)) > params.limit}
+    for name, rows in got.items():
+        raw = texts[name].encode()
+        assert [r["piece_no"] for r in rows] == list(range(1, len(rows) + 1)) and rows[0]["start_byte"] == 0 and rows[-1]["end_byte"] == len(raw)
+        assert all(r["piece"].encode() == raw[r["start_byte"] : r["end_byte"]] and len(encode(r["piece"])) <= params.limit for r in rows)
+        assert all(a["start_byte"] < b["start_byte"] <= a["end_byte"] < b["end_byte"] for a, b in zip(rows, rows[1:]))
+    assert S.split_files(spark, [str(tmp_path / "sub" / "c.txt")], params).count() == 0
+
+
+@needs_vocabulary
+def test_ranges_of_any_size_give_the_same_pieces(spark):
+    rng = random.Random(9)
+    text = "\n".join(" ".join(rng.choice(["one", "two.", "three,", "vier"]) for _ in range(40)) for _ in range(90))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = [sorted(map(tuple, S.split(df, "doc_id", "text", S.Pieces(size=n, halo=64)).collect())) for n in (800, 3000, 100_000)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 5
+
+
 def test_truncation_rules():
     whole = ["Done.", "457 rows", "Ulmpird", "Yes!", 'He said "so."', "Text.\n\n- one two\n- three four", "Text.\n\n```\ncode\n```", "**Name**: it works.", "Ok"]
     cut = ["The metric behind with a", "We saw that -", "Either the segment…", "When the partial,", "Text.\n\n```\ncode", "Text.\n\n- one two\n- thr", "Only (", "and ...", "**Name: it"]
