@@ -1,12 +1,18 @@
 """Broken prompt and response pairs.
 
 Refusals are found by what recurs: the openings of all responses are clustered
-by MinHash (every member is verified against its cluster's representative), an
-opening that recurs across unrelated prompts is a template, and the word pairs
-of templates that decline form the vocabulary of refusals.  A response that
-declines and consists of that vocabulary is a refusal; one that goes on with
-content of its own is not.  Empty, copied, cut-off and foreign-language
-responses are labelled by checks on the text and its prompt.
+by MinHash (every member is verified against its cluster's representative).
+An opening that recurs across prompts that are unlike one another (verified on
+their word sets) is a template, and the words and word pairs that a good share
+of its members have in common are its vocabulary.  A template is one of refusals
+if its members say nothing beyond that vocabulary (those that go on with
+content of their own show a mere phrase) and there is evidence for it: rows
+flagged for want of context are frequent among them, or most decline in so
+many words.  A response that consists of the vocabulary of refusal templates
+is a refusal, whatever its own flag and wording.  All shares are relative to the
+cluster, so a table ten times as large is judged alike.  Empty, copied,
+cut-off and foreign-language responses are labelled by checks on the text and
+its prompt.
 """
 
 from __future__ import annotations
@@ -39,7 +45,8 @@ FUNCTION_WORDS = {
 }
 _MEMBERS = {lang: set(text.split()) for lang, text in FUNCTION_WORDS.items()}
 
-# Ways to decline, by language, on lower-case text with plain apostrophes.
+# Ways to decline, by language, on lower-case text with plain apostrophes. They are one kind of evidence
+# for a template; texts of fewer than ``Checks.least_words`` words need one: "487 kB" recurs like "No puedo".
 DECLINES = re.compile(
     r"\b(?:can(?:no|')t|can not|unable|not able|won't|decline|rather not|do(?:n't| not) (?:have|know)|insufficient|not enough|isn't possible|not possible|impossible|no (?:way|means) (?:to|of)"
     r"|nothing i (?:was|have)|lets me answer|sorry|apologi[sz]e|unfortunately"
@@ -56,14 +63,31 @@ _CLOSED = re.compile(r"[.!?。！？](?:[\"'»”’)\]*_`]*)$")
 
 @dataclass(frozen=True)
 class Checks:
-    """Parameters. ``support``: unrelated prompts a template must recur in; ``opening``: words of an opening."""
+    """Parameters.
+
+    ``support``: prompts, none like another (word similarity of ``related`` or
+    more), that a template must recur in; ``opening``: words of an opening;
+    ``similarity``: of an opening to its cluster's representative;
+    ``consensus``: share of a template's members that have a word or pair of
+    its vocabulary; ``known_words`` and ``known_pairs``: shares of a refusal's
+    words and pairs that are in it; ``closed``: share of a refusal template's
+    members that its vocabulary covers so; ``flagged``: least share of flagged
+    rows that is evidence; ``least_words``: shorter texts make templates only
+    if they decline in so many words.
+    """
 
     support: int = 3
+    related: float = 0.8
     opening: int = 10
     bands: int = 4
     rows: int = 2
     similarity: float = 0.5
-    template_share: float = 0.6
+    consensus: float = 0.2
+    known_words: float = 0.85
+    known_pairs: float = 0.6
+    closed: float = 0.5
+    flagged: float = 0.3
+    least_words: int = 4
     copied_share: float = 0.8
     tail_words: int = 2
 
@@ -77,17 +101,18 @@ def is_empty(text: str | None) -> bool:
 
 
 def copies(prompt: list[str], answer: list[str], checks: Checks) -> bool:
-    """Whether the answer is the prompt again, perhaps slightly changed, and nothing more."""
+    """Whether the answer is the prompt again, once or several times, perhaps slightly changed, and nothing more."""
     if not prompt or not answer:
         return False
-    common = sum((Counter(prompt) & Counter(answer)).values())
-    if common < checks.copied_share * len(answer) or common < checks.copied_share * len(prompt):
+    times = max(1, round(len(answer) / len(prompt)))
+    asked = Counter(prompt)
+    common = sum((Counter({w: n * times for w, n in asked.items()}) & Counter(answer)).values())
+    if common < checks.copied_share * len(answer) or common < checks.copied_share * len(prompt) * times:
         return False
     # Words that follow the end of the repeated prompt are an answer.
-    known = set(prompt)
     tail = 0
     for word in reversed(answer):
-        if word in known:
+        if word in asked:
             break
         tail += 1
     return tail <= checks.tail_words
@@ -128,39 +153,93 @@ def language(tokens: list[str]) -> str | None:
     return best if hits[best] >= 2 and hits[best] >= 1.5 * rest else None
 
 
-def _pair_codes(codes: np.ndarray) -> np.ndarray:
-    """Hashes of the pairs of neighbouring words; a single word stands for itself."""
-    if len(codes) < 2:
-        return mix(codes).astype(np.int64)
-    return np.unique(mix(codes[:-1] * np.uint64(31) + mix(codes[1:])).astype(np.int64))
+def _codes(tokens: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit codes of the words and of the pairs of neighbours; zero for what holds a digit, which no template shares."""
+    found = mix(codes(tokens)).astype(np.uint32)
+    found[[any(c.isdigit() for c in t) for t in tokens]] = 0
+    pairs = mix(found[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + found[1:]).astype(np.uint32)
+    pairs[(found[:-1] == 0) | (found[1:] == 0)] = 0
+    return found.view(np.int32), pairs.view(np.int32)
+
+
+def _covered(texts: DataFrame, vocabulary: DataFrame, checks: Checks) -> DataFrame:
+    """(_key, side) of ``texts`` (_key, side, size, units) that consist of the vocabulary (unit); units are words, then pairs."""
+    units = texts.select("_key", "side", "size", F.posexplode("units").alias("at", "unit")).where("unit <> 0").join(vocabulary, "unit")
+    words_, pairs_ = F.sum(F.when(F.col("at") < F.col("size"), 1).otherwise(0)), F.sum(F.when(F.col("at") >= F.col("size"), 1).otherwise(0))
+    found = units.groupBy("_key", "side", "size").agg(words_.alias("w"), pairs_.alias("p"))
+    return found.where((F.col("w") >= checks.known_words * F.col("size")) & (F.col("p") >= checks.known_pairs * (F.col("size") - 1))).select("_key", "side")
+
+
+def _unrelated(members: DataFrame, checks: Checks) -> DataFrame:
+    """(band) of clusters that ``support`` mutually unlike prompts met; ``members``: (band, ask).
+
+    The smallest prompt is taken, then the smallest of those unlike it, and so
+    on; one aggregation each, which combines before the shuffle.
+    """
+    left = members.select("band", "ask").distinct()
+    taken = left.groupBy("band").agg(F.min("ask").alias("_taken"))
+    for _ in range(checks.support - 1):
+        common = F.size(F.array_intersect("ask", "_taken"))
+        like = common >= checks.related * (F.size("ask") + F.size("_taken") - common)
+        left = left.join(taken, "band").where(~like).select("band", "ask")
+        taken = left.groupBy("band").agg(F.min("ask").alias("_taken"))
+    return taken.select("band")
+
+
+def _refusals(checked: DataFrame, checks: Checks) -> DataFrame:
+    """(_key, side) of texts that are refusals."""
+    # Clusters of openings: the representative of a bucket is its smallest member, every other one is verified against it.
+    members = checked.where("bands is not null").select("_key", "side", "opening", "flag", "declines", F.explode("bands").alias("band"))
+    buckets = members.groupBy("band").agg(F.min(F.struct("_key", "side", "opening")).getField("opening").alias("_rep"), F.count("*").alias("_n")).where(F.col("_n") >= checks.support)
+    common = F.size(F.array_intersect("opening", "_rep"))
+    alike = cut(members.join(buckets, "band").where(common >= checks.similarity * (F.size("opening") + F.size("_rep") - common)).select("_key", "side", "band", "flag", "declines"))
+    # Evidence: two flagged rows at least, and their share; or the share of declining texts.
+    flagged = F.sum(F.when(F.col("flag"), 1).otherwise(0))
+    evident = ((flagged >= 2) & (flagged >= checks.flagged * F.count("flag"))) | (F.avg(F.col("declines").cast("double")) > 0.5)
+    alike = alike.join(alike.groupBy("band").agg(evident.alias("_evident")).where("_evident").select("band"), "band").select("_key", "side", "band")
+    full = alike.join(checked.select("_key", "side", "ask", "size", "units"), ["_key", "side"])
+    templates = cut(_unrelated(full.where("ask is not null"), checks))
+    within = full.join(templates, "band").select("band", "_key", "side", "size", "units")
+    total = within.groupBy("band").agg(F.count("*").alias("_all"))
+    units = within.select("band", F.explode(F.array_distinct("units")).alias("unit")).where("unit <> 0").groupBy("band", "unit").agg(F.count("*").alias("_has"))
+    shared = cut(units.join(total, "band").where((F.col("_has") >= 2) & (F.col("_has") >= checks.consensus * F.col("_all"))).select("band", "unit"))
+    # Templates whose members mostly say nothing of their own.
+    texts = within.select("_key", "side", "size", "units").dropDuplicates(["_key", "side"])
+    inside = _covered(texts, shared.select("unit").distinct(), checks)
+    closed = within.select("band", "_key", "side").join(inside, ["_key", "side"]).groupBy("band").agg(F.count("*").alias("_closed"))
+    refusing = closed.join(total, "band").where(F.col("_closed") >= checks.closed * F.col("_all")).select("band")
+    vocabulary = cut(shared.join(refusing, "band").select("unit").distinct())
+    return _covered(checked.where("bands is not null").select("_key", "side", "size", "units"), vocabulary, checks)
 
 
-def defects(df: DataFrame, key: str, prompt: str, sides: list[str], checks: Checks | None = None) -> DataFrame:
+def defects(df: DataFrame, key: str, prompt: str, sides: list[str], flag: tuple[str, str] | None = None, checks: Checks | None = None) -> DataFrame:
     """(key, side, defect) of every defective text; a text has one defect at most.
 
-    ``sides`` are the text columns to check.  The first defect in this order
+    ``sides`` are the text columns to check; ``flag`` may name a boolean
+    column that tells, not reliably, of a lack of context, and the side it
+    speaks of.  A null flag says nothing.  The first defect in this order
     holds: empty, copies_question, refusal, truncated, other_language.  Rows
     with a null key are left out; a null prompt is never copied and has no
     language.  A key seen twice gives its defects once.
     """
     checks = checks or Checks()
-    stacked = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("text")) for s in sides])).alias("s")
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(prompt).alias("_prompt"), stacked).select("_key", "s.side", "_prompt", "s.text")
+    told = lambda s: F.col(flag[0]).cast("boolean") if flag and flag[1] == s else F.lit(None).cast("boolean")
+    stacked = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("text"), told(s).alias("flag")) for s in sides])).alias("s")
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(prompt).alias("_prompt"), stacked).select("_key", "s.side", "_prompt", "s.text", "s.flag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         salts = mix(np.arange(1, checks.bands * checks.rows + 1, dtype=np.uint64))
         for batch in batches:
             out: list[tuple] = []
-            for k, side, ask, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for k, side, ask, text, told_ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 question = words(ask)
-                topic = int(mix(np.array([len(question)], np.uint64) + codes(question).sum(dtype=np.uint64, keepdims=True))[0].astype(np.int64)) if question else 0
                 if is_empty(text):
-                    out.append((k, side, topic, "empty", False, None, None, None))
+                    out.append((k, side, "empty", None, None, None, 0, None, told_, False))
                     continue
                 answer = words(text)
                 if copies(question, answer, checks):
-                    out.append((k, side, topic, "copies_question", False, None, None, None))
+                    out.append((k, side, "copies_question", None, None, None, 0, None, told_, False))
                     continue
                 defect = None
                 if is_truncated(text):
@@ -169,38 +248,24 @@ def defects(df: DataFrame, key: str, prompt: str, sides: list[str], checks: Chec
                     asked, said = language(question), language(answer)
                     if asked and said and asked != said:
                         defect = "other_language"
+                start = opening = units = None
                 declines = DECLINES.search(text.lower().replace("’", "'")) is not None
-                start = opening = pairs = None
-                # Shorter openings that do not decline cannot make a template.
-                if declines or len(answer) >= 4:
-                    found = codes(answer)
-                    opening = _pair_codes(found[: checks.opening])
-                    signature = mix(opening.astype(np.uint64)[:, None] ^ salts[None, :]).min(axis=0).reshape(checks.bands, checks.rows)
+                if len(answer) >= checks.least_words or declines:
+                    single, double = _codes(answer, codes)
+                    opening = np.unique(double[: checks.opening - 1] if len(double) else single)
+                    signature = mix(opening.view(np.uint32).astype(np.uint64)[:, None] ^ salts[None, :]).min(axis=0).reshape(checks.bands, checks.rows)
                     start = mix(signature.sum(axis=1) + np.arange(checks.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
-                    if declines:
-                        pairs = _pair_codes(found)
-                out.append((k, side, topic, defect, declines, start, opening, pairs))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 8
-            longs = pa.list_(pa.int64())
-            kinds = (batch.schema.field(0).type, pa.string(), pa.int64(), pa.string(), pa.bool_(), longs, longs, longs)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["_key", "side", "topic", "defect", "declines", "bands", "opening", "pairs"])
+                    units = np.concatenate([single, double])
+                topic = np.unique(mix(codes(question)).astype(np.uint32).view(np.int32)) if question else None
+                out.append((k, side, defect, topic, start, opening, len(answer), units, told_, declines))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 10
+            ints = pa.list_(pa.int32())
+            kinds = (batch.schema.field(0).type, pa.string(), pa.string(), ints, pa.list_(pa.int64()), ints, pa.int32(), ints, pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["_key", "side", "defect", "ask", "bands", "opening", "size", "units", "flag", "declines"])
 
     kind = df.schema[key].dataType.simpleString()
-    checked = cut(rows.mapInArrow(run, f"_key {kind}, side string, topic long, defect string, declines boolean, bands array<long>, opening array<long>, pairs array<long>"))
-    # Clusters of openings: the representative of a bucket is its smallest member, every other one is verified against it.
-    members = checked.where("bands is not null").select("_key", "side", "topic", "declines", "opening", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min(F.struct("_key", "side", "opening")).getField("opening").alias("_rep"), F.count("*").alias("_n")).where(F.col("_n") >= checks.support)
-    common = F.size(F.array_intersect("opening", "_rep"))
-    alike = members.join(buckets, "band").where(common >= checks.similarity * (F.size("opening") + F.size("_rep") - common))
-    # Prompts met by a template are counted distinctly; a template declines if most of its members do.
-    templates = alike.groupBy("band").agg(F.count_distinct("topic").alias("_topics"), F.avg(F.col("declines").cast("double")).alias("_declining"))
-    templates = templates.where((F.col("_topics") >= checks.support) & (F.col("_declining") > 0.5)).select("band")
-    inside = alike.where("declines").join(templates, "band").select("_key", "side").distinct()
-    declining = checked.where("declines").select("_key", "side", "topic", "pairs")
-    vocabulary = declining.join(inside, ["_key", "side"]).select("topic", F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count_distinct("topic").alias("_topics"))
-    vocabulary = vocabulary.where(F.col("_topics") >= checks.support).select("pair", F.lit(1).alias("_known"))
-    share = declining.select("_key", "side", F.explode("pairs").alias("pair")).join(vocabulary, "pair", "left").groupBy("_key", "side").agg(F.avg(F.coalesce("_known", F.lit(0))).alias("_share"))
-    refusals = share.where(F.col("_share") >= checks.template_share).select("_key", "side", F.lit(True).alias("_refuses"))
+    checked = cut(rows.mapInArrow(run, f"_key {kind}, side string, defect string, ask array<int>, bands array<long>, opening array<int>, size int, units array<int>, flag boolean, declines boolean"))
+    refusals = _refusals(checked, checks).withColumn("_refuses", F.lit(True))
     labelled = checked.select("_key", "side", "defect").join(refusals, ["_key", "side"], "left")
     early = F.col("defect").isin("empty", "copies_question")
     found = F.when(F.col("_refuses") & ~F.coalesce(early, F.lit(False)), F.lit("refusal")).otherwise(F.col("defect"))

@@ -148,4 +148,4 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 @REGISTRY.query("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "task_results").dropDuplicates(["result_id"])
-    return pairs.defects(rows, "result_id", "probe", ["answer", "gold_answer"])
+    return pairs.defects(rows, "result_id", "probe", ["answer", "gold_answer"], ("insufficient_context", "answer"))

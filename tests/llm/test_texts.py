@@ -173,3 +173,15 @@ def test_defects(spark):
     }
     assert got == want
     assert Q.defects(df.limit(0), "result_id", "probe", ["answer"]).count() == 0
+
+
+def test_refusals_worded_otherwise_are_found_by_the_flag(spark):
+    names = ["Arkol", "Bretis", "Coluna", "Dorath", "Elmira", "Fenton", "Golan", "Hester"]
+    rows = [(i, f"What did {n} say of item {i}?", "My notes are silent on this matter as far as they reach.", i % 4 != 0) for i, n in enumerate(names)]
+    rows += [(20 + i, f"What did {n} do with box {i}?", f"The keeper moved it so that {n} {w} the old {w} of the house by night.", False) for i, (n, w) in enumerate(zip(names, ["lamp", "door", "rope", "bell", "sail", "oar", "jar", "map"]))]
+    rows += [(40, "Same prompt here?", "All copies of one answer stay what they are.", True), (41, "Same prompt here!", "All copies of one answer stay what they are.", True), (42, "same prompt here", "All copies of one answer stay what they are.", True)]
+    rows += [(50, "Where is it kept?", "Where is it kept?\nWhere is it kept?", None)]
+    df = spark.createDataFrame(rows, "id long, ask string, answer string, lacking boolean")
+    got = {r["id"]: r["defect"] for r in Q.defects(df, "id", "ask", ["answer"], ("lacking", "answer")).collect()}
+    assert got == {i: "refusal" for i in range(8)} | {50: "copies_question"}
+    assert {r["id"] for r in Q.defects(df, "id", "ask", ["answer"]).collect()} == {50}
