@@ -26,8 +26,9 @@ from heddle.session import cut
 class Winnowing:
     """``span``: least number of consecutive words of a passage; ``gram``: words in a hashed gram.
 
-    Up to ``broadcast_bytes`` of test fingerprints and words are broadcast;
-    beyond that the joins shuffle.
+    Up to ``broadcast_bytes`` of test fingerprints and words, and of ids of
+    texts that share a fingerprint, are broadcast; beyond that the joins
+    shuffle.
     """
 
     span: int = 12
@@ -91,7 +92,7 @@ def leaks(corpus: DataFrame, items: DataFrame, params: Winnowing | None = None)
     least ``span`` words.  Repeated rows of an id count as further texts of it.
 
     All corpus texts are fingerprinted; only those that share a fingerprint
-    with some item are read again for the extension.
+    with some item are read again and travel for the extension.
     """
     params = params or Winnowing()
     corpus = corpus.where("doc_id is not null and text is not null").select("doc_id", "text")
@@ -101,8 +102,10 @@ def leaks(corpus: DataFrame, items: DataFrame, params: Winnowing | None = None)
     wanted = cut(items.mapInArrow(_winnow(params), "id long, gram long, at int").select(F.col("id").alias("item_id"), "gram").distinct())
     # Grams of the corpus meet the items' grams first; only hits go on.
     grams = corpus.mapInArrow(_winnow(params), "id long, gram long, at int")
-    hits = grams.join(small(wanted), "gram").select(F.col("id").alias("doc_id"), "item_id").distinct()
-    texts = hits.join(small(items.withColumnRenamed("text", "item_text")), "item_id").join(corpus, "doc_id").select("doc_id", "item_id", "text", "item_text")
+    hits = cut(grams.join(small(wanted), "gram").select(F.col("id").alias("doc_id"), "item_id").distinct())
+    # The hits' ids go to where the texts are, 16 bytes each; more of them than may be broadcast meet the texts in a shuffle.
+    near = F.broadcast if hits.count() * 16 <= params.broadcast_bytes else (lambda df: df)
+    texts = corpus.join(near(hits), "doc_id").join(small(items.withColumnRenamed("text", "item_text")), "item_id").select("doc_id", "item_id", "text", "item_text")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
