@@ -25,6 +25,10 @@ from pyspark.sql import types as T
 from heddle.session import cut, partitions
 
 
+#: Positions to look up that are broadcast at most, about 100 bytes each; more of them shuffle.
+BROADCAST_ROWS = 200_000
+
+
 def usable(value: str) -> F.Column:
     """Neither null nor NaN nor negative."""
     c = F.col(value)
@@ -105,11 +109,13 @@ def sorted_percentiles(df: DataFrame, group: list[str], value: str, quantiles: l
     target = F.least(F.col("_low") + F.col("_side"), F.col("n") - 1) - F.col("_from")
     wanted = wanted.withColumn("_pos", target).where((F.col("_pos") >= 0) & (F.col("_pos") < F.col("_n")))
     keys = [*group, "_pid", "_pos"]
-    wanted = wanted.select(*[F.col(c).alias(f"_w{c}") for c in keys], "n", "quantile", "_side", "_part")
+    wanted = cut(wanted.select(*[F.col(c).alias(f"_w{c}") for c in keys], "n", "quantile", "_side", "_part"))
     condition = F.lit(True)
     for c in keys:
         condition = condition & F.col(c).eqNullSafe(F.col(f"_w{c}"))
-    found = placed.join(wanted, condition).select(*group, "n", "quantile", "_side", "_part", "_value")
+    # Two rows for each group and percentile: as long as these are few, the sorted rows stay where they are.
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    found = placed.join(near, condition).select(*group, "n", "quantile", "_side", "_part", "_value")
     out = found.groupBy(*group, "n", "quantile").agg(
         F.max(F.when(F.col("_side") == 0, F.col("_value"))).alias("_a"), F.max(F.when(F.col("_side") == 1, F.col("_value"))).alias("_b"), F.max("_part").alias("_part")
     )
