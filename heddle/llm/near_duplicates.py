@@ -6,8 +6,10 @@ one minus their word similarity.  All words count alike here as they do in
 the similarity itself, so that a pair is found by what makes it a case.
 The fingerprint is cut into segments; for each segment the ball of Hamming
 radius one around it is enumerated (all ways to leave one symbol open) and
-looked up in that segment's table.  Texts that share a table row are verified
-by their complete word sets.
+looked up in that segment's table.  Texts that share a table row are compared
+by a complete distance over forty further symbols, and those near enough by
+their complete word sets.  Segments and the distance follow from the
+probability to overlook a pair at the least similarity, nothing else.
 
 Bit fingerprints would not do here: at a similarity of 0.60 about a fifth of
 all bits differ, and balls that wide hold a seventh of all segment values.
@@ -21,39 +23,50 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.components import components
+from heddle.operators.graph import components
 from heddle.llm.words import Codes, mix, words
-from heddle.session import cut
+from heddle.session import cut, partitions
 
 
 @dataclass(frozen=True)
 class MultiIndex:
     """``similarity``: least share of common words; ``least_words``: texts with fewer distinct words take no part.
 
-    ``symbols`` in a segment and ``miss``, the probability to overlook a pair
-    whose similarity is ``sized_for``, give the number of segments.  ``block``
-    bounds the members of a table row that one task compares with one another.
+    ``symbols`` in a segment and ``miss``, the probability that a pair just at
+    ``similarity`` shares no table row, give the number of segments; the
+    complete distance overlooks such a pair with a tenth of ``miss``.
+    ``block`` bounds the members of a table row that one task compares.
     """
 
     similarity: float = 0.60
     least_words: int = 8
     symbols: int = 5
-    miss: float = 0.01
-    sized_for: float = 0.55
-    sketch: int = 14
+    miss: float = 0.0003
     block: int = 256
     seed: int = 11
 
     @property
     def segments(self) -> int:
-        """Segments needed to overlook a pair with at most ``miss``."""
-        s, j = self.symbols, self.sized_for
+        """Segments needed to overlook a pair at the least similarity with at most ``miss``."""
+        s, j = self.symbols, self.similarity
         hit = j**s + s * (1 - j) * j ** (s - 1)
         return math.ceil(math.log(self.miss) / math.log(1 - hit))
 
+    @property
+    def agreeing(self) -> int:
+        """Of 40 four-bit symbols, how many a pair at the least similarity shares but for a tenth of ``miss``."""
+        p = self.similarity + (1 - self.similarity) / 16
+        below = 0.0
+        for k in range(41):
+            below += math.comb(40, k) * p**k * (1 - p) ** (40 - k)
+            if below > self.miss / 10:
+                return k
+        return 40
+
 
 def _word_sets(params: MultiIndex):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +136,7 @@ def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _rows_to_pairs(params: MultiIndex):  # noqa: ANN202
     """Pairs of members of table rows, read as runs of sorted keys; members of too long rows go on unpaired."""
-    block = params.block
+    block, least = params.block, params.agreeing
 
     def close(keys: np.ndarray, classes: np.ndarray, s1: np.ndarray, s2: np.ndarray, large: int | None) -> pa.RecordBatch:
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
@@ -139,7 +152,7 @@ def _rows_to_pairs(params: MultiIndex):  # noqa: ANN202
             x, y = classes[later - step], classes[later]
             # The lower half of a tagged word holds eight symbols; the upper half is masked, and so agrees in eight.
             agree = agreeing(s1[later - step], s1[later]) + agreeing(s2[later - step], s2[later]) + agreeing(x & LOW, y & LOW) - 8
-            real = (x != y) & (agree >= params.sketch)
+            real = (x != y) & (agree >= least)
             x, y = x[real] >> 32, y[real] >> 32
             out.append((np.minimum(x, y), np.maximum(x, y), np.zeros(int(real.sum()), np.int64)))
             paired.append(np.ones(int(real.sum()), bool))
@@ -168,12 +181,16 @@ def _rows_to_pairs(params: MultiIndex):  # noqa: ANN202
     return run
 
 
-def similarity(x: bytes, y: bytes) -> float:
-    """Shared words over words of either, of two packed word sets."""
-    both = np.concatenate([np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)])
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return common / (len(both) - common)
+def common_words(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """How many words the packed word sets of each row share, for all rows of two columns at once."""
+    sides = []
+    for column in (left, right):
+        words_, sizes = np.frombuffer(b"".join(column.to_pylist()), np.uint32), pc.binary_length(column).to_numpy(zero_copy_only=False) // 4
+        sides.append((np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32)) | words_)
+    # Both sides are in order of row and word, so the stable sort merges two runs.
+    both = np.concatenate(sides)
+    both.sort(kind="stable")
+    return np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(left))
 
 
 def shared_words(left: list[bytes], right: list[bytes], width: int = 4096) -> np.ndarray:
@@ -208,19 +225,20 @@ def _links_of_blocks(params: MultiIndex):  # noqa: ANN202
             common = shared_words([m[2] for m in left], [m[2] for m in right])
             sizes = [np.array([len(m[2]) // 4 for m in side]) for side in (left, right)]
             alike = common / (sizes[0][:, None] + sizes[1] - common) >= params.similarity - 1e-12
-            root: dict[int, int] = {m[0]: m[0] for m in members}
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for x, y in zip(*(c.tolist() for c in np.nonzero(alike)), strict=True):
-                a, b = find(left[x][0]), find(right[y][0])
-                if a != b:
-                    root[a] = b
-                    links.append((min(left[x][0], right[y][0]), max(left[x][0], right[y][0])))
+            x, y = np.nonzero(alike)
+            names = [np.array([m[0] for m in side], np.int64) for side in (left, right)]
+            nodes, at = np.unique(np.concatenate([names[0][x], names[1][y]]), return_inverse=True)
+            low = np.arange(len(nodes))
+            x, y = at[: len(x)], at[len(x) :]
+            while True:
+                # Every link pulls both ends to the lower label; labels are then followed to their own.
+                before = low.copy()
+                np.minimum.at(low, x, before[y])
+                np.minimum.at(low, y, before[x])
+                low = low[low]
+                if (low == before).all():
+                    break
+            links = [(int(nodes[r]), int(n)) for n, r in zip(nodes, low, strict=True) if nodes[r] != n]
         columns = list(zip(*links, strict=True)) if links else [[], []]
         return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
 
@@ -245,10 +263,14 @@ def similar_classes(classes: DataFrame, params: MultiIndex) -> DataFrame:
     left = needed.select(F.col("half").alias("a"), F.col("class").alias("ca"), F.col("words").alias("wa"))
     right = needed.select(F.col("half").alias("b"), F.col("class").alias("cb"), F.col("words").alias("wb"))
     sides = pairs.join(left, "a").join(right, "b").where("ca <> cb").select("ca", "cb", "wa", "wb")
+    # A class with many candidates must not be verified by one task.
+    sides = sides.repartition(partitions(classes.sparkSession), "ca", "cb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = pa.array([similarity(x, y) >= params.similarity - 1e-12 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            common = common_words(batch.column(2), batch.column(3))
+            sizes = sum(pc.binary_length(batch.column(i)).to_numpy(zero_copy_only=False) // 4 for i in (2, 3))
+            alike = pa.array(common >= (params.similarity - 1e-12) * (sizes - common))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(alike), batch.column(1).filter(alike)], names=["a", "b"])
 
     few = sides.mapInArrow(verify, "a long, b long")
@@ -276,7 +298,7 @@ def groups(texts: DataFrame, params: MultiIndex | None = None) -> DataFrame:
     classes = cut(read.groupBy("class").agg(F.first("words").alias("words")))
     links = cut(similar_classes(classes, params))
     named = components(links)
-    joined = members.join(named.select(F.col("node").alias("class"), "root"), "class", "left")
+    joined = members.join(named.select(F.col("node").alias("class"), F.col("component").alias("root")), "class", "left")
     return joined.select("id", "class", F.coalesce("root", "class").alias("group"))
 
 

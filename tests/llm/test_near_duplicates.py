@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 from heddle.llm import near_duplicates as N
-from heddle.llm.components import components
+from heddle.operators.graph import components
 from heddle.llm.words import words
 
 
