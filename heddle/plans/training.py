@@ -23,32 +23,39 @@ RESULT_SCHEMA = {
     "baseline_task_ids": ("baseline.taskScores[].taskId", "strings"),
     "arm_task_ids": ("comparisons[].result.taskScores[].taskId", "strings"),
 }
-#: Approved later spellings of drifted fields, replayed into the typed columns.
-PROMOTED = {
-    "mean_recall_at_k": (["mean_recall_at_k", "MeanRecallAtK", "recallAtKMean", "meanRecall", "avgRecallAtK", "metrics.meanRecallAtK", "meanRecallAtK.value"], "double"),
-    "p95_latency_ms": (["p95_latency_ms", "p95latencyMs", "p95Ms", "latencyP95Ms", "latencyMsP95", "p95LatencyMs.value"], "double"),
-    "baseline_task_ids": ([f"baseline.taskScores[].{k}" for k in ("task_id", "TaskId", "taskKey", "task", "id", "taskId.value")], "strings"),
-    "arm_task_ids": ([f"comparisons[].result.taskScores[].{k}" for k in ("task_id", "TaskId", "taskKey", "task", "id", "taskId.value")], "strings"),
-}
+#: Most names that are approved unseen.
+MOST_NAMES = 1000
 
 
 def _artifacts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "result_artifacts").dropDuplicates(["artifact_id"]).drop("loaded_at")
+    """All files ingested; redelivered ones are still there."""
+    return schema_drift.ingest(table(spark, d, "result_artifacts").drop("loaded_at"), "body", RESULT_SCHEMA)
 
 
 @REGISTRY.query("p1_found")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    files = schema_drift.ingest(_artifacts(spark, d), "body", RESULT_SCHEMA)
-    return schema_drift.drift_report(files, "artifact_id", ["store_id", "series"], "run_at").distinct()
+    return schema_drift.drift_report(_artifacts(spark, d), "artifact_id", ["store_id", "series"], "run_at").distinct()
+
+
+@REGISTRY.query("p1_proposals")
+def p1_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """Names under which target fields were seen, by the files that renamed them."""
+    return schema_drift.proposals(schema_drift.drift_changes(_artifacts(spark, d), "artifact_id", ["store_id", "series"], "run_at"), RESULT_SCHEMA)
 
 
 @REGISTRY.query("p1_table")
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
-    """All files as one table, approved fields promoted, the rest kept as JSON."""
-    rows = schema_drift.ingest(_artifacts(spark, d), "body", RESULT_SCHEMA)
-    for column, (paths, kind) in PROMOTED.items():
-        rows = schema_drift.promote(rows, column, paths, kind)
-    return rows.select("artifact_id", "store_id", "series", "run_at", *RESULT_SCHEMA, "_parsed", "_rescued")
+    """All files as one table; every name the report proposes is approved and promoted, the rest kept as JSON."""
+    approved: dict[str, list[str]] = {}
+    found = p1_proposals(spark, d).orderBy("column", F.desc("files"), "path").take(MOST_NAMES + 1)
+    if len(found) > MOST_NAMES:
+        raise ValueError("too many proposed names to approve unseen")
+    for r in found:
+        approved.setdefault(r["column"], []).append(r["path"])
+    rows = _artifacts(spark, d)
+    for column, paths in approved.items():
+        rows = schema_drift.promote(rows, column, paths, RESULT_SCHEMA[column][1])
+    return rows.select("artifact_id", "store_id", "series", "run_at", *RESULT_SCHEMA, "_parsed", "_rescued").dropDuplicates(["artifact_id"])
 
 
 def relation_name(c: str) -> F.Column:
