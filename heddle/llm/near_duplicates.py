@@ -7,7 +7,7 @@ the similarity itself, so that a pair is found by what makes it a case.
 The fingerprint is cut into segments; for each segment the ball of Hamming
 radius one around it is enumerated (all ways to leave one symbol open) and
 looked up in that segment's table.  Texts that share a table row are compared
-by a complete distance over forty further symbols, and those near enough by
+by a complete distance over eighty further symbols of two bits, and those near enough by
 their complete word sets.  Segments and the distance follow from the
 probability to overlook a pair at the least similarity, nothing else.
 
@@ -58,14 +58,14 @@ class MultiIndex:
 
     @property
     def agreeing(self) -> int:
-        """Of 40 four-bit symbols, how many a pair at the least similarity shares but for a tenth of ``miss``."""
-        p = self.similarity + (1 - self.similarity) / 16
+        """Of 80 two-bit symbols, how many a pair at the least similarity shares but for a tenth of ``miss``."""
+        p = self.similarity + (1 - self.similarity) / 4
         below = 0.0
-        for k in range(41):
-            below += math.comb(40, k) * p**k * (1 - p) ** (40 - k)
+        for k in range(81):
+            below += math.comb(80, k) * p**k * (1 - p) ** (80 - k)
             if below > self.miss / 10:
                 return k
-        return 40
+        return 80
 
 
 def _word_sets(params: MultiIndex):  # noqa: ANN202
@@ -93,14 +93,14 @@ def _table_keys(params: MultiIndex):  # noqa: ANN202
     segments, symbols = params.segments, params.symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = mix(np.arange(1, segments * symbols + 41, dtype=np.uint64) + np.uint64(params.seed << 32))
+        salts = mix(np.arange(1, segments * symbols + 81, dtype=np.uint64) + np.uint64(params.seed << 32))
         place = mix(np.arange(1, segments * symbols + 1, dtype=np.uint64) + np.uint64(977 << 32)).reshape(segments, symbols)
         drawn: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             out = np.empty((batch.num_rows, segments * symbols), np.uint64)
-            sketches = np.empty((batch.num_rows, 40), np.uint64)
+            sketches = np.empty((batch.num_rows, 80), np.uint64)
             for row, raw in enumerate(batch.column(1).to_pylist()):
                 members = np.frombuffer(raw, np.uint32).tolist()
                 if len(drawn) > 1 << 16:
@@ -111,27 +111,26 @@ def _table_keys(params: MultiIndex):  # noqa: ANN202
                         drawn[w] = mix(np.uint64(w * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) ^ salts)
                 first = np.stack([drawn[w] for w in members]).argmin(axis=0)
                 drawn_words = np.asarray(members, np.uint64)[first]
-                sketches[row] = mix(drawn_words[segments * symbols :]) & np.uint64(15)
+                sketches[row] = mix(drawn_words[segments * symbols :]) & np.uint64(3)
                 chosen = drawn_words[: segments * symbols].reshape(segments, symbols)
                 part = mix((chosen << np.uint64(20)) ^ place)
                 # The ball of radius one: each symbol in turn is left open.
                 out[row] = (part.sum(axis=1, keepdims=True) - part + place).reshape(-1)
             keys = mix(out).astype(np.int64).reshape(-1)
             wide = lambda x: pa.array(np.repeat(x, segments * symbols))
-            nibbles = np.arange(16, dtype=np.uint64) * np.uint64(4)
-            # Half of the class number and eight sketch symbols share one word, the other 32 symbols fill two more.
-            tagged = (batch.column(0).to_numpy().view(np.uint64) & HALF) | (sketches[:, :8] << nibbles[:8]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), wide(tagged.astype(np.int64)), *[wide((sketches[:, i : i + 16] << nibbles).sum(axis=1).astype(np.int64)) for i in (8, 24)]], names=["key", "tagged", "s1", "s2"])
+            twos = np.arange(32, dtype=np.uint64) * np.uint64(2)
+            # Half of the class number and 16 sketch symbols share one word, the other 64 symbols fill two more.
+            tagged = (batch.column(0).to_numpy().view(np.uint64) & HALF) | (sketches[:, :16] << twos[:16]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), wide(tagged.astype(np.int64)), *[wide((sketches[:, i : i + 32] << twos).sum(axis=1).astype(np.int64)) for i in (16, 48)]], names=["key", "tagged", "s1", "s2"])
 
     return run
 
 
 def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many of the four-bit symbols of two words agree."""
+    """How many of the 32 two-bit symbols of two words agree."""
     z = (x ^ y).astype(np.uint64)
     z |= z >> np.uint64(1)
-    z |= z >> np.uint64(2)
-    return 16 - np.bitwise_count(z & np.uint64(0x1111111111111111)).astype(np.int64)
+    return 32 - np.bitwise_count(z & np.uint64(0x5555555555555555)).astype(np.int64)
 
 
 def _rows_to_pairs(params: MultiIndex):  # noqa: ANN202
@@ -150,8 +149,8 @@ def _rows_to_pairs(params: MultiIndex):  # noqa: ANN202
         for step in range(1, int(min(block, sizes.max(initial=0)))):
             later = np.flatnonzero((place >= step) & ~long)
             x, y = classes[later - step], classes[later]
-            # The lower half of a tagged word holds eight symbols; the upper half is masked, and so agrees in eight.
-            agree = agreeing(s1[later - step], s1[later]) + agreeing(s2[later - step], s2[later]) + agreeing(x & LOW, y & LOW) - 8
+            # The lower half of a tagged word holds 16 symbols; the upper half is masked, and so agrees in 16.
+            agree = agreeing(s1[later - step], s1[later]) + agreeing(s2[later - step], s2[later]) + agreeing(x & LOW, y & LOW) - 16
             real = (x != y) & (agree >= least)
             x, y = x[real] >> 32, y[real] >> 32
             out.append((np.minimum(x, y), np.maximum(x, y), np.zeros(int(real.sum()), np.int64)))

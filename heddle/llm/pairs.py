@@ -164,7 +164,9 @@ def _codes(tokens: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
 
 def _covered(texts: DataFrame, vocabulary: DataFrame, checks: Checks) -> DataFrame:
     """(_key, side) of ``texts`` (_key, side, size, units) that consist of the vocabulary (unit); units are words, then pairs."""
-    units = texts.select("_key", "side", "size", F.posexplode("units").alias("at", "unit")).where("unit <> 0").join(vocabulary, "unit")
+    # Up to a million codes (4 MB) go to the texts; more of them meet the units in a shuffle.
+    known = F.broadcast(vocabulary) if vocabulary.count() <= 1_000_000 else vocabulary
+    units = texts.select("_key", "side", "size", F.posexplode("units").alias("at", "unit")).where("unit <> 0").join(known, "unit")
     words_, pairs_ = F.sum(F.when(F.col("at") < F.col("size"), 1).otherwise(0)), F.sum(F.when(F.col("at") >= F.col("size"), 1).otherwise(0))
     found = units.groupBy("_key", "side", "size").agg(words_.alias("w"), pairs_.alias("p"))
     return found.where((F.col("w") >= checks.known_words * F.col("size")) & (F.col("p") >= checks.known_pairs * (F.col("size") - 1))).select("_key", "side")
@@ -205,7 +207,7 @@ def _refusals(checked: DataFrame, checks: Checks) -> DataFrame:
     shared = cut(units.join(total, "band").where((F.col("_has") >= 2) & (F.col("_has") >= checks.consensus * F.col("_all"))).select("band", "unit"))
     # Templates whose members mostly say nothing of their own.
     texts = within.select("_key", "side", "size", "units").dropDuplicates(["_key", "side"])
-    inside = _covered(texts, shared.select("unit").distinct(), checks)
+    inside = _covered(texts, cut(shared.select("unit").distinct()), checks)
     closed = within.select("band", "_key", "side").join(inside, ["_key", "side"]).groupBy("band").agg(F.count("*").alias("_closed"))
     refusing = closed.join(total, "band").where(F.col("_closed") >= checks.closed * F.col("_all")).select("band")
     vocabulary = cut(shared.join(refusing, "band").select("unit").distinct())
