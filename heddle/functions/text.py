@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from heddle.functions.synonyms import COLLOQUIAL, SYNONYMS
 
 # The stop words of the lexical index.
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on or that the to was were will with".split()
+_STOP = frozenset(STOP_WORDS)
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -27,6 +29,21 @@ def lexical_tokens(text: Column) -> Column:
     return F.filter(terms, lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS))
 
 
+_RUNS = regex.compile(r"[\p{L}\p{Nd}-]+")
+
+
+def lexical_terms(text: str | None) -> list[str]:
+    """The tokens of ``lexical_tokens`` for one text inside an Arrow function."""
+    out: list[str] = []
+    for run in _RUNS.findall(text.lower()) if text else []:
+        if "-" in run:
+            parts = [p for p in run.split("-") if p]
+            out += [*parts, "".join(parts)]
+        else:
+            out.append(run)
+    return [t for t in out if len(t) >= 2 and t not in _STOP]
+
+
 def loose_tokens(text: Column) -> Column:
     """Tokens for synonym lookup: runs that may hold hyphens and underscores inside, lower-cased, of two characters or more."""
     runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{Nd}_-]+)"), F.lit(1))

@@ -10,7 +10,7 @@ from heddle.functions import vector as V
 from heddle.operators import retrieval as R
 from heddle.plans.texts import POSTINGS_SQL, bm25_sql, tokens_sql
 from heddle.registry import Registry
-from heddle.session import table
+from heddle.session import cut, table
 from heddle.sources.tables import CORPUS_SQL, corpus
 
 REGISTRY = Registry()
@@ -42,7 +42,7 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search_sql(where: str, k: int, order: str = "round(score, 9) DESC, id") -> str:
-    return f"WITH {CORPUS_SQL}, s AS (SELECT q.id AS query_id, c.id, c.is_summary_node, {COS} AS score FROM c q JOIN c ON q.id <> c.id WHERE q.id % 50 = 0 AND {where}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {order})::INTEGER AS rank, id, round(score, 6) AS score FROM s QUALIFY rank <= {k}"
+    return f"WITH {CORPUS_SQL}, s AS (SELECT q.id AS query_id, c.id, c.is_summary_node, {COS} AS score FROM c q JOIN c ON q.id <> c.id AND q.vector IS NOT NULL AND c.vector IS NOT NULL WHERE q.id % 50 = 0 AND {where}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {order})::INTEGER AS rank, id, round(score, 6) AS score FROM s QUALIFY rank <= {k}"
 
 
 @query("knn_filtered_states", _search_sql("c.lifecycle_state IN ('stm', 'ltm') AND c.category IS NOT DISTINCT FROM q.category AND list_cosine_similarity(q.vector, c.vector) >= 0.05", 10))
@@ -92,21 +92,25 @@ def int8_screen(spark: SparkSession, d: str) -> DataFrame:
 
 POOL = 40
 HYBRID_SQL = f"""{CORPUS_SQL}, {POSTINGS_SQL}, q AS (SELECT id AS query_id, text FROM c WHERE id % 50 = 0 AND text IS NOT NULL), {bm25_sql('q', POOL)},
-lx AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY bm.rank) AS rank, doc_id AS id, score FROM bm JOIN c ON c.id = bm.doc_id),
-vs AS (SELECT q.id AS query_id, c.id, {COS} AS score FROM c q JOIN c ON true WHERE q.id % 50 = 0 AND q.text IS NOT NULL),
+lx AS (SELECT query_id, rank, doc_id AS id, score FROM bm),
+vs AS (SELECT q.id AS query_id, c.id, {COS} AS score FROM c q JOIN c ON c.vector IS NOT NULL WHERE q.id % 50 = 0 AND q.text IS NOT NULL AND q.vector IS NOT NULL),
 vx AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, id, score FROM vs QUALIFY rank <= {POOL})"""
 
 
+def _vector_list(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Corpus and vector list of every query."""
+    rows = corpus(spark, d)
+    asked = _queries(rows).where("text is not null")
+    return rows, R.knn(asked.select(F.col("id").alias("query_id"), "vector"), rows, POOL)
+
+
 def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Corpus, vector list and lexical list of every query."""
+    """Corpus, vector list and lexical list of every query; lists are kept, since plans read them several times."""
     rows = corpus(spark, d)
     asked = _queries(rows).where("text is not null")
-    vector = R.knn(asked.select(F.col("id").alias("query_id"), "vector"), rows, POOL)
-    index = R.postings(table(spark, d, "documents"), "doc_id", "text")
-    lexical = R.bm25(asked.select(F.col("id").alias("query_id"), "text"), "query_id", "text", index, "doc_id", POOL).withColumnRenamed("doc_id", "id")
-    lexical = lexical.join(rows.select("id"), "id", "left_semi")
-    lexical = lexical.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    return rows, vector, lexical
+    vector = cut(R.knn(asked.select(F.col("id").alias("query_id"), "vector"), rows, POOL))
+    lexical = R.lexical_search(asked.select(F.col("id").alias("query_id"), "text"), "query_id", "text", rows, "id", "text", POOL)
+    return rows, vector, cut(lexical)
 
 
 @query("rrf_hybrid", f"""WITH {HYBRID_SQL}, f AS (SELECT query_id, id, vx.score AS cosine, lx.score AS bm25, coalesce(1.0::DOUBLE / (60 + vx.rank), 0) + coalesce(1.0::DOUBLE / (60 + lx.rank), 0) AS rrf FROM vx FULL JOIN lx USING (query_id, id))
@@ -118,7 +122,7 @@ def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("hybrid_adaptive_k", f"""WITH {HYBRID_SQL}, k AS (SELECT query_id, CASE WHEN max(score) >= 0.80 THEN 120 WHEN max(score) < 0.50 THEN 30 ELSE 60 END AS c FROM vx GROUP BY query_id),
-f AS (SELECT query_id, id, coalesce(1.0::DOUBLE / (c + vx.rank), 0) + coalesce(1.0::DOUBLE / (c + lx.rank), 0) AS rrf FROM vx FULL JOIN lx USING (query_id, id) JOIN k USING (query_id))
+f AS (SELECT query_id, id, coalesce(1.0::DOUBLE / (coalesce(c, 60) + vx.rank), 0) + coalesce(1.0::DOUBLE / (coalesce(c, 60) + lx.rank), 0) AS rrf FROM vx FULL JOIN lx USING (query_id, id) LEFT JOIN (SELECT query_id, c FROM k) USING (query_id))
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, id)::INTEGER AS rank, id, round(rrf, 8) AS rrf FROM f QUALIFY rank <= 10""")
 def hybrid_adaptive_k(spark: SparkSession, d: str) -> DataFrame:
     """The constant follows the query's best cosine."""
@@ -129,7 +133,7 @@ def hybrid_adaptive_k(spark: SparkSession, d: str) -> DataFrame:
 @query("hybrid_early_exit", f"WITH {HYBRID_SQL} SELECT query_id, count(*) AS hits, max(score) >= 0.85 AND count(*) >= 10 AS vector_only FROM vx GROUP BY query_id")
 def hybrid_early_exit(spark: SparkSession, d: str) -> DataFrame:
     """Queries whose vector hits are so sure that the lexical side is skipped."""
-    _, vector, _ = _lists(spark, d)
+    _, vector = _vector_list(spark, d)
     return vector.groupBy("query_id").agg(F.count("*").alias("hits"), ((F.max("score") >= 0.85) & (F.count("*") >= 10)).alias("vector_only"))
 
 
@@ -164,7 +168,7 @@ h AS (SELECT query_id, id, score, CASE WHEN len(qt0) = 0 OR len(dt) = 0 THEN 0.0
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(0.6 * score + 0.4 * overlap, 9) DESC, id)::INTEGER AS rank, id, round(0.6 * score + 0.4 * overlap, 6) AS score FROM h QUALIFY rank <= 10""")
 def token_rerank(spark: SparkSession, d: str) -> DataFrame:
     """0.6 of the cosine and 0.4 of the token overlap; tokens are made once for each text."""
-    rows, vector, _ = _lists(spark, d)
+    rows, vector = _vector_list(spark, d)
     tokens = rows.select("id", T.lexical_tokens(F.col("text")).alias("t"))
     pairs = vector.join(tokens.select(F.col("id").alias("query_id"), F.col("t").alias("q")), "query_id").join(tokens, "id")
     scored = pairs.select("query_id", "id", (0.6 * F.col("score") + 0.4 * R.rerank_score(F.col("q"), F.col("t"))).alias("score"))
@@ -175,14 +179,14 @@ def token_rerank(spark: SparkSession, d: str) -> DataFrame:
 @query("category_boost", f"WITH {HYBRID_SQL} SELECT vx.query_id, vx.id, round(vx.score * CASE WHEN list_has_any({tokens_sql('c.category')}, {tokens_sql('q.text')}) THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM vx JOIN q USING (query_id) JOIN c ON c.id = vx.id")
 def category_boost(spark: SparkSession, d: str) -> DataFrame:
     """Hits whose category is named in the query score 15 % more."""
-    rows, vector, _ = _lists(spark, d)
+    rows, vector = _vector_list(spark, d)
     asked = rows.select(F.col("id").alias("query_id"), T.lexical_tokens(F.col("text")).alias("q"))
     pairs = vector.join(asked, "query_id").join(rows.select("id", T.lexical_tokens(F.col("category")).alias("c")), "id")
     boost = F.when(F.arrays_overlap("c", "q"), 1.15).otherwise(1.0)
     return pairs.select("query_id", "id", F.round(F.col("score") * boost, 6).alias("score"))
 
 
-@query("cross_namespace_rrf", f"""WITH {CORPUS_SQL}, s AS (SELECT q.id AS query_id, c.ns, c.id, {COS} AS score FROM c q JOIN c ON q.id <> c.id WHERE q.id % 50 = 0),
+@query("cross_namespace_rrf", f"""WITH {CORPUS_SQL}, s AS (SELECT q.id AS query_id, c.ns, c.id, {COS} AS score FROM c q JOIN c ON q.id <> c.id AND q.vector IS NOT NULL AND c.vector IS NOT NULL WHERE q.id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, ns ORDER BY round(score, 9) DESC, id)::INTEGER AS ns_rank FROM s QUALIFY ns_rank <= 5)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY ns_rank, ns)::INTEGER AS rank, ns, id, round(score, 6) AS score FROM r QUALIFY rank <= 20""")
 def cross_namespace_rrf(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +200,7 @@ def cross_namespace_rrf(spark: SparkSession, d: str) -> DataFrame:
 @query("mmr_diversity")
 def mmr_diversity(spark: SparkSession, d: str) -> DataFrame:
     """Ten diverse hits of pools of thirty."""
-    rows, vector, _ = _lists(spark, d)
+    rows, vector = _vector_list(spark, d)
     pool = vector.where("rank <= 30").select("query_id", "id", "score").join(rows.select("id", "vector", "category"), "id")
     return R.mmr(pool, "query_id", "id", "vector", "score", 10, category="category").withColumn("score", F.round("score", 6))
 
@@ -209,7 +213,7 @@ b AS (SELECT *, 0.5::DOUBLE * score + 0.5::DOUBLE * g / max(g) OVER (PARTITION B
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(blended, 9) DESC, id)::INTEGER AS rank, round(g, 4) AS gravity, round(blended, 6) AS blended, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) = 1 AS asteroid, row_number() OVER (PARTITION BY query_id ORDER BY round(g, 9) DESC, id) = 1 AS sun FROM b""")
 def physics_rank(spark: SparkSession, d: str) -> DataFrame:
     """Cosine blended half and half with gravity; the nearest and the heaviest hit are marked."""
-    rows, vector, _ = _lists(spark, d)
+    rows, vector = _vector_list(spark, d)
     hits = vector.where("id <> query_id").join(rows.select("id", "access_count", "lifecycle_state"), "id")
     hits = hits.withColumn("g", R.gravity(F.col("score"), F.col("access_count"), F.col("lifecycle_state")))
     of = Window.partitionBy("query_id")
@@ -218,7 +222,7 @@ def physics_rank(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", "id", place("blended").alias("rank"), F.round("g", 4).alias("gravity"), F.round("blended", 6).alias("blended"), (place("score") == 1).alias("asteroid"), (place("g") == 1).alias("sun"))
 
 
-@query("deep_recall", f"WITH {CORPUS_SQL}, s AS (SELECT q.id AS query_id, c.id, c.lifecycle_state AS state, {COS} AS score FROM c q JOIN c ON q.id <> c.id WHERE q.id % 50 = 0) SELECT query_id, id, round(score, 6) AS score, CASE WHEN state = 'archived' AND score >= 0.25 THEN 'stm' ELSE state END AS new_state, state = 'archived' AND score >= 0.25 AS resurrected FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10")
+@query("deep_recall", f"WITH {CORPUS_SQL}, s AS (SELECT q.id AS query_id, c.id, c.lifecycle_state AS state, {COS} AS score FROM c q JOIN c ON q.id <> c.id AND q.vector IS NOT NULL AND c.vector IS NOT NULL WHERE q.id % 50 = 0) SELECT query_id, id, round(score, 6) AS score, CASE WHEN state = 'archived' AND score >= 0.25 THEN 'stm' ELSE state END AS new_state, state = 'archived' AND score >= 0.25 AS resurrected FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10")
 def deep_recall(spark: SparkSession, d: str) -> DataFrame:
     """All states are searched; archived hits above a threshold (0.25 on these vectors) come back to life."""
     rows = corpus(spark, d)

@@ -39,11 +39,11 @@ def point_read_unambiguous(spark: SparkSession, d: str) -> DataFrame:
     return keys.groupBy("task_id").agg(F.min("ns").alias("ns"), F.count("*").alias("n")).where("n = 1").select("task_id", "ns")
 
 
-@query("upsert_latest", "SELECT score_id, run_id, latency_ms, loaded_at FROM (SELECT DISTINCT score_id, run_id, latency_ms, loaded_at FROM query_scores) QUALIFY row_number() OVER (PARTITION BY score_id ORDER BY loaded_at DESC) = 1")
+@query("upsert_latest", "SELECT score_id, run_id, CASE WHEN NOT isnan(latency_ms) THEN latency_ms END AS latency_ms, loaded_at FROM (SELECT DISTINCT score_id, run_id, latency_ms, loaded_at FROM query_scores) QUALIFY row_number() OVER (PARTITION BY score_id ORDER BY loaded_at DESC) = 1")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
-    """Latest row wins; one aggregation that combines before the shuffle."""
+    """Latest row wins, by one aggregation that combines before the shuffle; a latency that is no number comes out null."""
     rows = table(spark, d, "query_scores").groupBy("score_id").agg(F.max_by(F.struct("run_id", "latency_ms", "loaded_at"), "loaded_at").alias("r"))
-    return rows.select("score_id", "r.run_id", "r.latency_ms", "r.loaded_at")
+    return rows.select("score_id", "r.run_id", F.when(~F.isnan("r.latency_ms"), F.col("r.latency_ms")).alias("latency_ms"), "r.loaded_at")
 
 
 @query("upsert_capped", f"WITH {ENTRIES_SQL} SELECT tenant_id, ns, count(*) FILTER (rn <= 100) AS stored, count(*) FILTER (rn > 100) AS refused FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, ns ORDER BY created_at NULLS FIRST, id) AS rn FROM e) GROUP BY tenant_id, ns")

@@ -75,7 +75,7 @@ def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
 @query("bm25_topk", f"WITH {POSTINGS_SQL}, {ITEMS_SQL}, {bm25_sql('q', 20)} SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM bm")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Top 20 documents for every held-out item."""
-    rows = retrieval.bm25(_items(spark, d), "query_id", "text", _postings(spark, d), "doc_id", 20)
+    rows = retrieval.lexical_search(_items(spark, d), "query_id", "text", table(spark, d, "documents"), "doc_id", "text", 20)
     return rows.withColumn("score", F.round("score", 6))
 
 
@@ -96,7 +96,7 @@ SELECT query_id, term, df, tf, df * 10 + tf AS score, row_number() OVER (PARTITI
 def prf_terms(spark: SparkSession, d: str) -> DataFrame:
     """Feedback terms of every held-out item from its five best documents."""
     items = _items(spark, d)
-    best = retrieval.bm25(items, "query_id", "text", _postings(spark, d), "doc_id", 5)
+    best = retrieval.lexical_search(items, "query_id", "text", table(spark, d, "documents"), "doc_id", "text", 5)
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("doc_text"))
     ranked = best.join(docs, "doc_id").join(items, "query_id")
     return T.expansion_terms(ranked, "query_id", "doc_text", "text")

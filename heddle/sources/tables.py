@@ -50,14 +50,14 @@ EDGES_SQL = """g AS (
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with a vector, as entries: (id, text, vector, ns, category, lifecycle_state, access_count, is_summary_node)."""
+    """Documents as entries, with their vector where there is one: (id, text, vector, ns, category, lifecycle_state, access_count, is_summary_node)."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("ns"), F.col("doc_kind").alias("category"))
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     state = F.element_at(F.array(*map(F.lit, ["stm", "ltm", "ltm", "archived"])), (F.col("id") % 4 + 1).cast("int"))
-    return docs.join(vectors, "id").withColumns({"lifecycle_state": state, "access_count": (F.col("id") % 7 + 1).cast("int"), "is_summary_node": F.col("id") % 11 == 0})
+    return docs.join(vectors, "id", "left").withColumns({"lifecycle_state": state, "access_count": (F.col("id") % 7 + 1).cast("int"), "is_summary_node": F.col("id") % 11 == 0})
 
 
 CORPUS_SQL = """c AS (
   SELECT d.doc_id AS id, d.text, d.source AS ns, d.doc_kind AS category, v.embedding::DOUBLE[] AS vector, (['stm','ltm','ltm','archived'])[d.doc_id % 4 + 1] AS lifecycle_state,
     (d.doc_id % 7 + 1)::INTEGER AS access_count, d.doc_id % 11 = 0 AS is_summary_node
-  FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id)"""
+  FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id)"""
