@@ -7,7 +7,7 @@ the similarity itself, so that a pair is found by what makes it a case.
 The fingerprint is cut into segments; for each segment the ball of Hamming
 radius one around it is enumerated (all ways to leave one symbol open) and
 looked up in that segment's table.  Texts that share a table row are compared
-by a complete distance over eighty further symbols of two bits, and those near enough by
+by a complete distance over 112 further symbols of two bits, and those near enough by
 their complete word sets.  Segments and the distance follow from the
 probability to overlook a pair at the least similarity, nothing else.
 
@@ -32,6 +32,10 @@ from heddle.llm.words import Codes, mix, words
 from heddle.session import cut, partitions
 
 
+#: Two-bit symbols of the complete distance.
+SKETCH = 112
+
+
 @dataclass(frozen=True)
 class MultiIndex:
     """``similarity``: least share of common words; ``least_words``: texts with fewer distinct words take no part.
@@ -45,8 +49,8 @@ class MultiIndex:
     similarity: float = 0.60
     least_words: int = 8
     symbols: int = 5
-    miss: float = 0.0003
-    block: int = 256
+    miss: float = 0.00065
+    block: int = 2048
     seed: int = 11
 
     @property
@@ -58,14 +62,14 @@ class MultiIndex:
 
     @property
     def agreeing(self) -> int:
-        """Of 80 two-bit symbols, how many a pair at the least similarity shares but for a tenth of ``miss``."""
+        """Of 112 two-bit symbols, how many a pair at the least similarity shares but for a tenth of ``miss``."""
         p = self.similarity + (1 - self.similarity) / 4
         below = 0.0
-        for k in range(81):
-            below += math.comb(80, k) * p**k * (1 - p) ** (80 - k)
+        for k in range(SKETCH + 1):
+            below += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
             if below > self.miss / 10:
                 return k
-        return 80
+        return SKETCH
 
 
 def _word_sets(params: MultiIndex):  # noqa: ANN202
@@ -93,14 +97,14 @@ def _table_keys(params: MultiIndex):  # noqa: ANN202
     segments, symbols = params.segments, params.symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = mix(np.arange(1, segments * symbols + 81, dtype=np.uint64) + np.uint64(params.seed << 32))
+        salts = mix(np.arange(1, segments * symbols + SKETCH + 1, dtype=np.uint64) + np.uint64(params.seed << 32))
         place = mix(np.arange(1, segments * symbols + 1, dtype=np.uint64) + np.uint64(977 << 32)).reshape(segments, symbols)
         drawn: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             out = np.empty((batch.num_rows, segments * symbols), np.uint64)
-            sketches = np.empty((batch.num_rows, 80), np.uint64)
+            sketches = np.empty((batch.num_rows, SKETCH), np.uint64)
             for row, raw in enumerate(batch.column(1).to_pylist()):
                 members = np.frombuffer(raw, np.uint32).tolist()
                 if len(drawn) > 1 << 16:
@@ -119,9 +123,9 @@ def _table_keys(params: MultiIndex):  # noqa: ANN202
             keys = mix(out).astype(np.int64).reshape(-1)
             wide = lambda x: pa.array(np.repeat(x, segments * symbols))
             twos = np.arange(32, dtype=np.uint64) * np.uint64(2)
-            # Half of the class number and 16 sketch symbols share one word, the other 64 symbols fill two more.
+            # Half of the class number and 16 sketch symbols share one word, the other 96 symbols fill three more.
             tagged = (batch.column(0).to_numpy().view(np.uint64) & HALF) | (sketches[:, :16] << twos[:16]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), wide(tagged.astype(np.int64)), *[wide((sketches[:, i : i + 32] << twos).sum(axis=1).astype(np.int64)) for i in (16, 48)]], names=["key", "tagged", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), wide(tagged.astype(np.int64)), *[wide((sketches[:, i : i + 32] << twos).sum(axis=1).astype(np.int64)) for i in (16, 48, 80)]], names=["key", "tagged", "s1", "s2", "s3"])
 
     return run
 
@@ -137,7 +141,7 @@ def _rows_to_pairs(params: MultiIndex):  # noqa: ANN202
     """Pairs of members of table rows, read as runs of sorted keys; members of too long rows go on unpaired."""
     block, least = params.block, params.agreeing
 
-    def close(keys: np.ndarray, classes: np.ndarray, s1: np.ndarray, s2: np.ndarray, large: int | None) -> pa.RecordBatch:
+    def close(keys: np.ndarray, classes: np.ndarray, s1: np.ndarray, s2: np.ndarray, s3: np.ndarray, large: int | None) -> pa.RecordBatch:
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(keys)))
         long = np.repeat(sizes, sizes) > block
@@ -146,20 +150,23 @@ def _rows_to_pairs(params: MultiIndex):  # noqa: ANN202
         place = np.arange(len(keys)) - np.repeat(starts, sizes)
         out = [(classes[long] >> 32, np.full(int(long.sum()), -1), keys[long])]
         paired = [np.zeros(int(long.sum()), bool)]
-        for step in range(1, int(min(block, sizes.max(initial=0)))):
-            later = np.flatnonzero((place >= step) & ~long)
+        later = np.flatnonzero((place >= 1) & ~long)
+        step = 0
+        while len(later):
+            step += 1
             x, y = classes[later - step], classes[later]
             # The lower half of a tagged word holds 16 symbols; the upper half is masked, and so agrees in 16.
-            agree = agreeing(s1[later - step], s1[later]) + agreeing(s2[later - step], s2[later]) + agreeing(x & LOW, y & LOW) - 16
+            agree = agreeing(s1[later - step], s1[later]) + agreeing(s2[later - step], s2[later]) + agreeing(s3[later - step], s3[later]) + agreeing(x & LOW, y & LOW) - 16
             real = (x != y) & (agree >= least)
             x, y = x[real] >> 32, y[real] >> 32
             out.append((np.minimum(x, y), np.maximum(x, y), np.zeros(int(real.sum()), np.int64)))
             paired.append(np.ones(int(real.sum()), bool))
+            later = later[place[later] > step]
         columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
         return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(paired))], names=["a", "b", "key", "paired"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
         large: int | None = None
         for batch in batches:
             joined = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
@@ -250,7 +257,7 @@ def similar_classes(classes: DataFrame, params: MultiIndex) -> DataFrame:
     All alike pairs of table rows of up to ``block`` members come out, of
     longer rows as many as join the same classes.
     """
-    keys = classes.select("class", "words").mapInArrow(_table_keys(params), "key long, tagged long, s1 long, s2 long")
+    keys = classes.select("class", "words").mapInArrow(_table_keys(params), "key long, tagged long, s1 long, s2 long, s3 long")
     rows = keys.repartition("key").sortWithinPartitions("key", "tagged")
     found = cut(rows.mapInArrow(_rows_to_pairs(params), "a long, b long, key long, paired boolean"))
     # Pairs are of half class numbers; the few classes that share one are all verified.
