@@ -78,3 +78,68 @@ def chained(versions: DataFrame, group: str, order: str, own: str, before: str)
     """(group, own, linked): whether each version names the hash of the one before it."""
     prior = F.lag(own).over(Window.partitionBy(group).orderBy(order, own))
     return versions.select(group, own, F.when(F.col(before).isNull(), prior.isNull()).otherwise(F.coalesce(F.col(before) == prior, F.lit(False))).alias("linked"))
+
+
+def evaluate_rules(rows: DataFrame, key: str, fields: list[str], rules: DataFrame) -> DataFrame:
+    """(key, severity, decided_by): the worst outcome of all rules, and the first rule in order that gives it.
+
+    ``rules``: (rule, place, field, op, bar, severity) with op above or below;
+    a null or NaN value denies (3).  Rules are a small table by nature and are
+    broadcast; rows never meet one another.
+    """
+    unpivoted = rows.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields])).alias("f")).select(key, "f.*")
+    met = unpivoted.join(F.broadcast(rules), "field")
+    broken = ((F.col("op") == "above") & (F.col("v") > F.col("bar"))) | ((F.col("op") == "below") & (F.col("v") < F.col("bar")))
+    outcome = F.when(F.col("v").isNull() | F.isnan("v"), 3).when(broken, F.col("severity")).otherwise(0)
+    return met.groupBy(key).agg(F.max(outcome).alias("severity"), F.max_by("rule", F.struct(outcome, -F.col("place"))).alias("decided_by"))
+
+
+def commits(versions: DataFrame, group: str, order: str, own: str, before: str) -> DataFrame:
+    """(group, own, outcome) of commits applied one after the other: accepted, conflict, repeated or invalid.
+
+    A commit is accepted if it names the active hash (null at first) and
+    becomes active; the active one again is repeated.  One group is one
+    artifact's history, whose commits depend on each other by definition.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in versions.schema.fields}
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        active, out = None, []
+        for mine, named in zip(rows[own], rows[before], strict=True):
+            mine, named = (None if x is None or x != x else x for x in (mine, named))
+            if mine is None:
+                out.append("invalid")
+            elif mine == active:
+                out.append("repeated")
+            elif named == active:
+                active = mine
+                out.append("accepted")
+            else:
+                out.append("conflict")
+        return rows[[group, own]].assign(outcome=out)
+
+    def ordered(rows: pd.DataFrame) -> pd.DataFrame:
+        return run(rows.sort_values([order, own], na_position="first"))
+
+    return versions.select(group, order, own, before).groupBy(group).applyInPandas(ordered, f"{group} {kinds[group]}, {own} {kinds[own]}, outcome string")
+
+
+def compile_context(items: DataFrame, group: str, order: str, budgets: dict[str, int], most: int) -> DataFrame:
+    """``items`` with ``taken``: in order while every budget and the number of items allow; one that does not fit is skipped, later ones may.
+
+    A null cost does not fit.  A group is one request's plan, which is short.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", taken boolean"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        left, room, taken = dict(budgets), most, []
+        for costs in rows[list(budgets)].itertuples(index=False):
+            fits = room > 0 and all(c == c and c is not None and c <= left[b] for b, c in zip(budgets, costs, strict=True))
+            if fits:
+                left = {b: left[b] - c for b, c in zip(budgets, costs, strict=True)}
+                room -= 1
+            taken.append(fits)
+        return rows.assign(taken=taken)
+
+    return items.groupBy(group).applyInPandas(run, schema)
