@@ -109,7 +109,9 @@ def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     rows = corpus(spark, d)
     asked = _queries(rows).where("text is not null")
     vector = cut(R.knn(asked.select(F.col("id").alias("query_id"), "vector"), rows, POOL))
-    lexical = R.lexical_search(asked.select(F.col("id").alias("query_id"), "text"), "query_id", "text", rows, "id", "text", POOL)
+    # Texts alone need no join with the vectors.
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    lexical = R.lexical_search(_queries(docs).where("text is not null").withColumnRenamed("id", "query_id"), "query_id", "text", docs, "id", "text", POOL)
     return rows, vector, cut(lexical)
 
 
@@ -169,7 +171,10 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(0.6 * s
 def token_rerank(spark: SparkSession, d: str) -> DataFrame:
     """0.6 of the cosine and 0.4 of the token overlap; tokens are made once for each text."""
     rows, vector = _vector_list(spark, d)
-    tokens = rows.select("id", T.lexical_tokens(F.col("text")).alias("t"))
+    vector = cut(vector)
+    # Only texts of some pair are tokenised.
+    needed = vector.select(F.explode(F.array("query_id", "id")).alias("id")).distinct()
+    tokens = cut(rows.select("id", "text").join(needed, "id", "left_semi").select("id", T.lexical_tokens(F.col("text")).alias("t")))
     pairs = vector.join(tokens.select(F.col("id").alias("query_id"), F.col("t").alias("q")), "query_id").join(tokens, "id")
     scored = pairs.select("query_id", "id", (0.6 * F.col("score") + 0.4 * R.rerank_score(F.col("q"), F.col("t"))).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")

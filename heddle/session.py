@@ -64,6 +64,16 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Tables up to this size are dealt out to all cores where few row groups would leave most of them idle.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores by ``keys`` if it is small; a large one has splits enough and stays as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if size <= SMALL_BYTES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
