@@ -103,21 +103,46 @@ def dbscan(pairs: DataFrame, points: DataFrame, min_points: int = 3) -> DataFram
     return points.select("id").join(both, "id", "left").select("id", "cluster", F.coalesce("core", F.lit(False)).alias("core"))
 
 
-def kahn_levels(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def kahn_levels(edges: DataFrame) -> DataFrame:
     """(node, level): longest path from a node without predecessors; nodes on or behind a loop are left out.
 
-    ``edges``: (before, after).  Raises if ``rounds`` do not suffice.
+    ``edges``: (before, after).  One round for each level of the graph; a
+    round that frees no node ends it, and what is left then hangs on loops.
     """
-    nodes = edges.select(F.col("before").alias("node")).union(edges.select("after")).distinct()
-    left, done = cut(edges.distinct()), None
-    remaining = cut(nodes)
-    for level in range(rounds):
+    left = cut(edges.where("before is not null and after is not null").distinct())
+    remaining = cut(left.select(F.col("before").alias("node")).union(left.select("after")).distinct())
+    done, level = remaining.limit(0).withColumn("level", F.lit(0)), 0
+    while True:
         blocked = left.select(F.col("after").alias("node")).distinct()
         ready = cut(remaining.join(blocked, "node", "left_anti"))
         if ready.isEmpty():
-            return done if done is not None else nodes.limit(0).withColumn("level", F.lit(0))
-        step = ready.withColumn("level", F.lit(level))
-        done = step if done is None else done.unionByName(step)
+            return done
+        done = done.unionByName(ready.withColumn("level", F.lit(level)))
         remaining = cut(remaining.join(ready, "node", "left_anti"))
         left = cut(left.join(ready.withColumnRenamed("node", "before"), "before", "left_anti").select("before", "after"))
-    raise ValueError("the graph is deeper than the rounds allow")
+        level += 1
+
+
+def reasoning(cited: DataFrame, held: DataFrame, edges: DataFrame, states: DataFrame, case: str) -> DataFrame:
+    """Quality of what each case cites; ``cited``: (case, id, n), ``held``: (case, id) of its context.
+
+    Output: case, cited, backed_share (in the context), stale_share
+    (archived), valid_steps (an edge leads to the next cited one), supported
+    (something it depends on is cited), contradictions (pairs of cited ids),
+    noise_share (context that is not cited; null without context).
+    """
+    known = states.select("id", (F.col("lifecycle_state") == "archived").alias("_stale"))
+    rows = cited.withColumn("_next", F.lead("id").over(Window.partitionBy(case).orderBy("n")))
+    rows = rows.join(known, "id", "left").join(held.withColumn("_backed", F.lit(True)), [case, "id"], "left")
+    links = edges.select(F.col("src").alias("id"), F.col("dst").alias("_next")).distinct().withColumn("_step", F.lit(True))
+    rows = rows.join(links, ["id", "_next"], "left")
+    needs = edges.where("relation = 'depends_on'").select(F.col("src").alias("id"), F.col("dst").alias("_need")).distinct()
+    support = cited.select(case, "id").join(needs, "id").join(cited.select(case, F.col("id").alias("_need")), [case, "_need"], "left_semi").select(case, "id").distinct().withColumn("_supported", F.lit(True))
+    rows = rows.join(support, [case, "id"], "left")
+    share = lambda c: F.round(F.count(F.when(F.col(c), 1)) / F.count("*"), 6)
+    count = lambda c: F.count(F.when(F.col(c), 1))
+    out = rows.groupBy(case).agg(F.count("*").alias("cited"), share("_backed").alias("backed_share"), share("_stale").alias("stale_share"), count("_step").alias("valid_steps"), count("_supported").alias("supported"))
+    against = edges.where("relation = 'contradicts'").select(F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b")).distinct()
+    pairs = against.join(cited.select(case, F.col("id").alias("_a")), "_a").join(cited.select(case, F.col("id").alias("_b")), [case, "_b"]).groupBy(case).agg(F.count("*").alias("_c"))
+    noise = held.join(cited.select(case, "id", F.lit(True).alias("_used")), [case, "id"], "left").groupBy(case).agg(F.round(F.count(F.when(F.col("_used").isNull(), 1)) / F.count("*"), 6).alias("noise_share"))
+    return out.join(pairs, case, "left").join(noise, case, "left").select(*out.columns, F.coalesce("_c", F.lit(0)).alias("contradictions"), "noise_share")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.session import cut
+
 #: Smallest graphs that get a basis, and the modes kept.
 LEAST_EDGES, LEAST_NODES, MODES = 8, 32, 96
 
@@ -48,6 +50,56 @@ def basis(values: DataFrame, group: str) -> DataFrame:
     return values.groupBy(group).applyInPandas(run, f"{group} {kind}, id long, lambda array<double>, u array<double>")
 
 
+def heat_steps(signal: DataFrame, values: DataFrame, group: str, t: float, steps: int) -> DataFrame:
+    """(group, id, value): the heat equation on the graph, ``steps`` explicit steps of t / steps, without any basis.
+
+    ``values`` comes from ``normalized``.  A step is x + (t / steps) * (A x - x)
+    for linked ids, one join and one aggregation over the links, so a graph
+    of any size is smoothed by all tasks; t / steps up to one is stable.
+    """
+    both = cut(values.select(group, "a", "b", "value").unionByName(values.select(group, F.col("b").alias("a"), F.col("a").alias("b"), "value")))
+    linked = cut(both.select(group, F.col("a").alias("id")).distinct().withColumn("_linked", F.lit(True)))
+    state = signal.select(group, "id", "value").join(linked, [group, "id"], "left")
+    for step in range(steps):
+        flow = both.join(state.select(group, F.col("id").alias("b"), F.col("value").alias("_x")), [group, "b"]).groupBy(group, F.col("a").alias("id")).agg(F.sum(F.col("value") * F.col("_x")).alias("_in"))
+        moved = F.col("value") + t / steps * (F.coalesce("_in", F.lit(0.0)) - F.col("value"))
+        state = state.join(flow, [group, "id"], "left").select(group, "id", F.when(F.col("_linked"), moved).otherwise(F.col("value")).alias("value"), "_linked")
+        if step % 4 == 3:
+            state = cut(state)
+    return state.select(group, "id", "value")
+
+
+def top_modes(values: DataFrame, group: str, modes: int = 8, extra: int = 8, rounds: int = 12, seed: int = 3) -> DataFrame:
+    """(group, lambda): smallest eigenvalues 1 - mu of the normalised Laplacian, by randomised subspace iteration.
+
+    A group's links are held sparse by one task, as many numbers as it has
+    links and ``modes`` + ``extra`` columns; no dense square matrix is made.
+    Groups with under 8 edges or 32 linked nodes give no rows.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(rows[["a", "b"]].to_numpy())
+        if len(rows) < LEAST_EDGES or len(ids) < LEAST_NODES:
+            return pd.DataFrame({group: pd.Series([], dtype=object), "lambda": pd.Series([], dtype=float)})
+        i, j, v = np.searchsorted(ids, rows["a"]), np.searchsorted(ids, rows["b"]), rows["value"].to_numpy(float)
+
+        def times(x: np.ndarray) -> np.ndarray:
+            # (A + I) / 2 has the same modes, all its values are positive.
+            out = x.copy()
+            np.add.at(out, i, v[:, None] * x[j])
+            np.add.at(out, j, v[:, None] * x[i])
+            return out / 2
+
+        x = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(ids), min(len(ids), modes + extra))))[0]
+        for _ in range(rounds):
+            x = np.linalg.qr(times(times(times(times(x)))))[0]
+        mu = np.sort(np.linalg.eigvalsh(x.T @ times(x)))[::-1][:modes]
+        return pd.DataFrame({group: [rows[group].iloc[0]] * len(mu), "lambda": np.maximum(0.0, 2 - 2 * mu)})
+
+    kind = values.schema[group].dataType.simpleString()
+    return values.groupBy(group).applyInPandas(run, f"{group} {kind}, lambda double")
+
+
 def smooth(signal: DataFrame, modes: DataFrame, group: str, response) -> DataFrame:  # noqa: ANN001
     """(group, id, value): U f(lambda) U' x; ids outside the basis keep their value.
 

@@ -182,16 +182,41 @@ def heat_filter(spark: SparkSession, d: str) -> DataFrame:
     return out.join(rows.select("id", "lifecycle_state"), "id").select("id", F.round("value", 6).alias("value"), S.consolidated(F.col("value"), F.col("lifecycle_state")).alias("new_state"))
 
 
+def _heat_sql(t: float, steps: int) -> str:
+    """``heat_steps`` unrolled."""
+    parts = ["x0 AS (SELECT id, activation_energy AS value FROM e)"]
+    for i in range(steps):
+        parts.append(f"x{i + 1} AS (SELECT x.id, CASE WHEN x.id IN (SELECT a FROM bo) THEN x.value + {t / steps}::DOUBLE * (coalesce(f.s, 0) - x.value) ELSE x.value END AS value FROM x{i} x LEFT JOIN (SELECT bo.a AS id, sum(bo.value * y.value) AS s FROM bo JOIN x{i} y ON y.id = bo.b GROUP BY bo.a) f USING (id))")
+    return ", ".join(parts)
+
+
+@query("heat_steps", f"WITH {EDGES_SQL}, {ENTRIES_SQL}, w AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(weight) AS w FROM g WHERE relation <> 'contradicts' AND weight > 0 AND src <> dst GROUP BY ALL), dg AS (SELECT n, sum(w) AS d FROM (SELECT a AS n, w FROM w UNION ALL SELECT b, w FROM w) GROUP BY n), nv AS (SELECT a, b, w / sqrt(x.d * y.d) AS value FROM w JOIN dg x ON x.n = a JOIN dg y ON y.n = b), bo AS (SELECT a, b, value FROM nv UNION ALL SELECT b, a, value FROM nv), {_heat_sql(2.0, 4)} SELECT id, round(value, 6) AS value FROM x4")
+def heat_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Activation smoothed over the whole graph by steps along its links."""
+    values = S.normalized(S.adjacency(edges(spark, d).withColumn("part", F.lit(0)), "part"), "part")
+    signal = entries(spark, d).select(F.lit(0).alias("part"), "id", F.col("activation_energy").alias("value"))
+    return S.heat_steps(signal, values, "part", 2.0, 4).select("id", F.round("value", 6).alias("value"))
+
+
+@query("spectral_modes")
+def spectral_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Smallest Laplacian eigenvalues of each family of namespaces, by a randomised solver."""
+    _, inside = _namespaced(spark, d)
+    return S.top_modes(S.normalized(S.adjacency(inside, "part"), "part"), "part").withColumn("lambda", F.round("lambda", 4))
+
+
 @query("stream_access_counts", "SELECT user_id AS id, count(*) AS accesses, max(ts) AS last_access FROM events GROUP BY user_id")
 def stream_access_counts(spark: SparkSession, d: str) -> DataFrame:
     return jobs.run_to_table(jobs.access_counts(jobs.source(spark, f"{d}/events.parquet")), "complete")
 
 
-@query("stream_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("stream_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.run_to_table(jobs.event_windows(jobs.source(spark, f"{d}/events.parquet")), "complete").withColumn("total", F.round("total", 4))
+    """Hours that the watermark has closed, each written once."""
+    return jobs.run_to_table(jobs.event_windows(jobs.source(spark, f"{d}/events.parquet")), "append").withColumn("total", F.round("total", 4))
 
 
-@query("stream_sessions", "WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+@query("stream_sessions", "WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.run_to_table(jobs.sessions(jobs.source(spark, f"{d}/events.parquet")), "complete")
+    """Sessions that the watermark has closed."""
+    return jobs.run_to_table(jobs.sessions(jobs.source(spark, f"{d}/events.parquet")), "append")

@@ -86,7 +86,7 @@ def spreading_activation(spark: SparkSession, d: str) -> DataFrame:
     return G.spread(edges(spark, d), starts).withColumn("boost", F.round("boost", 6))
 
 
-@query("connected_components")
+@query("connected_components", f"WITH RECURSIVE {EDGES_SQL}, u AS (SELECT src AS a, dst AS b FROM g WHERE relation IN ('similar_to', 'parent_child') AND src <> dst UNION SELECT dst, src FROM g WHERE relation IN ('similar_to', 'parent_child') AND src <> dst), r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS node, min(b) AS component FROM r GROUP BY a")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     """Components over similar_to and parent_child edges."""
     rows = edges(spark, d).where(F.col("relation").isin("similar_to", "parent_child"))
@@ -119,7 +119,7 @@ def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
     return parts.groupBy("cluster").agg(F.max("n").alias("members"), F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("length"))
 
 
-@query("topological_levels")
+@query("topological_levels", f"WITH RECURSIVE {EDGES_SQL}, dp AS (SELECT DISTINCT src AS a, dst AS b FROM g WHERE relation = 'depends_on'), nd AS (SELECT a AS n FROM dp UNION SELECT b FROM dp), rc(a, b) AS (SELECT a, b FROM dp UNION SELECT rc.a, dp.b FROM rc JOIN dp ON dp.a = rc.b), lp AS (SELECT DISTINCT a AS n FROM rc WHERE a = b), bd AS (SELECT n FROM lp UNION SELECT rc.b FROM rc JOIN lp ON lp.n = rc.a), lv(n, l) AS (SELECT n, 0 FROM nd WHERE n NOT IN (SELECT n FROM bd) AND n NOT IN (SELECT b FROM dp) UNION SELECT dp.b, lv.l + 1 FROM lv JOIN dp ON dp.a = lv.n WHERE dp.b NOT IN (SELECT n FROM bd)) SELECT n AS node, max(l)::INTEGER AS level FROM lv GROUP BY n")
 def topological_levels(spark: SparkSession, d: str) -> DataFrame:
     """Levels of depends_on edges, loops and what lies behind them left out."""
     rows = edges(spark, d).where("relation = 'depends_on'")
@@ -132,3 +132,51 @@ def summary_staleness(spark: SparkSession, d: str) -> DataFrame:
     newest = lambda flag: F.max(F.when(F.col("is_summary_node") == flag, F.col("created_at")))
     rows = entries(spark, d).groupBy("tenant_id", "ns").agg(newest(True).alias("s"), newest(False).alias("n"))
     return rows.where("s is not null and n is not null").select("tenant_id", "ns", (F.col("n") > F.col("s")).alias("stale"))
+
+
+_SNAPSHOT = f"{EDGES_SQL}, {ENTRIES_SQL}, vs AS (SELECT id, ns FROM e WHERE lifecycle_state <> 'archived' AND tenant_id IN ('', 'acorn'))"
+
+
+@query("graph_snapshot", f"WITH {_SNAPSHOT} SELECT src, dst, relation, round(weight, 6) AS weight, a.ns AS src_ns, b.ns AS dst_ns FROM g JOIN vs a ON a.id = src JOIN vs b ON b.id = dst")
+def graph_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Edges whose both ends one tenant may read, with their namespaces."""
+    seen = entries(spark, d).where(F.col("tenant_id").isin("", "acorn") & (F.col("lifecycle_state") != "archived"))
+    end = lambda c: seen.select(F.col("id").alias(c), F.col("ns").alias(f"{c}_ns"))
+    return edges(spark, d).join(end("src"), "src").join(end("dst"), "dst").select("src", "dst", "relation", F.round("weight", 6).alias("weight"), "src_ns", "dst_ns")
+
+
+@query("edges_of_entry", f"WITH {EDGES_SQL} SELECT id, other, relation, direction FROM (SELECT src AS id, dst AS other, relation, 'out' AS direction FROM g UNION ALL SELECT dst, src, relation, 'in' FROM g) WHERE id % 50 = 0")
+def edges_of_entry(spark: SparkSession, d: str) -> DataFrame:
+    """All edges at every 50th entry, in either direction."""
+    rows = edges(spark, d)
+    side = lambda a, b, name: rows.where(F.col(a) % 50 == 0).select(F.col(a).alias("id"), F.col(b).alias("other"), "relation", F.lit(name).alias("direction"))
+    return side("src", "dst", "out").unionByName(side("dst", "src", "in"))
+
+
+@query("remove_edges", f"WITH {EDGES_SQL} SELECT src, dst, relation FROM g WHERE (src, dst) NOT IN (SELECT (entry_a.id, entry_b.id) FROM duplicate_pairs WHERE entry_a.id IS NOT NULL AND entry_b.id IS NOT NULL) AND relation <> 'similar_to'")
+def remove_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges left after those between reported pairs, and all of one kind, were removed."""
+    gone = table(spark, d, "duplicate_pairs").select(F.col("entry_a.id").alias("src"), F.col("entry_b.id").alias("dst"))
+    return edges(spark, d).where("relation <> 'similar_to'").join(gone, ["src", "dst"], "left_anti").select("src", "dst", "relation")
+
+
+_CASES = f"""{EDGES_SQL}, {ENTRIES_SQL}, cs AS (SELECT scan_id, entry_a.id AS cited, entry_b.id AS held, row_number() OVER (PARTITION BY scan_id ORDER BY pair_id) AS n FROM (SELECT DISTINCT scan_id, pair_id, entry_a, entry_b FROM duplicate_pairs)),
+ct AS (SELECT scan_id, cited AS id, min(n) AS n FROM cs GROUP BY ALL), hd AS (SELECT DISTINCT scan_id, id FROM (SELECT scan_id, held AS id FROM cs UNION ALL SELECT scan_id, cited FROM cs WHERE n % 2 = 0)),
+st AS (SELECT ct.scan_id, ct.id, lead(ct.id) OVER (PARTITION BY scan_id ORDER BY n) AS nxt, e.lifecycle_state AS s, hd.id IS NOT NULL AS backed FROM ct LEFT JOIN e USING (id) LEFT JOIN hd USING (scan_id, id)),
+lk AS (SELECT DISTINCT src, dst FROM g), cd AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM g WHERE relation = 'contradicts'), dp AS (SELECT DISTINCT src, dst FROM g WHERE relation = 'depends_on')"""
+
+
+@query("reasoning_metrics", f"""WITH {_CASES} SELECT st.scan_id, count(*) AS cited, round(count(*) FILTER (backed) / count(*)::DOUBLE, 6) AS backed_share, round(count(*) FILTER (s = 'archived') / count(*)::DOUBLE, 6) AS stale_share,
+count(*) FILTER (EXISTS (SELECT 1 FROM lk WHERE lk.src = st.id AND lk.dst = st.nxt)) AS valid_steps, count(*) FILTER (st.id IN (SELECT src FROM dp) AND EXISTS (SELECT 1 FROM dp JOIN ct x ON x.id = dp.dst AND x.scan_id = st.scan_id WHERE dp.src = st.id)) AS supported,
+(SELECT count(*) FROM cd JOIN ct x ON x.id = cd.a JOIN ct y ON y.id = cd.b AND y.scan_id = x.scan_id WHERE x.scan_id = st.scan_id) AS contradictions,
+round((SELECT count(*) FROM hd WHERE hd.scan_id = st.scan_id AND hd.id NOT IN (SELECT id FROM ct WHERE ct.scan_id = st.scan_id)) / (SELECT count(*) FROM hd WHERE hd.scan_id = st.scan_id)::DOUBLE, 6) AS noise_share FROM st GROUP BY st.scan_id""")
+def reasoning_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Of the entries each case cites in order: backed by its context, stale, linked step by step, supported by what they depend on, contradicting each other; and the noise of its context.
+
+    Scans of reported pairs stand for cases: first entries are cited, second ones and every other first one are the context.
+    """
+    pairs = table(spark, d, "duplicate_pairs").select("scan_id", "pair_id", F.col("entry_a.id").alias("cited"), F.col("entry_b.id").alias("held")).distinct()
+    place = pairs.withColumn("n", F.row_number().over(Window.partitionBy("scan_id").orderBy("pair_id")))
+    cited = place.groupBy("scan_id", F.col("cited").alias("id")).agg(F.min("n").alias("n"))
+    held = place.select("scan_id", F.col("held").alias("id")).unionByName(place.where("n % 2 = 0").select("scan_id", F.col("cited").alias("id"))).distinct()
+    return G.reasoning(cited, held, edges(spark, d), entries(spark, d).select("id", "lifecycle_state"), "scan_id")

@@ -50,30 +50,40 @@ def _timed(events: DataFrame) -> DataFrame:
 
 
 def event_windows(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Hourly counts and sums; events later than the watermark are dropped."""
+    """Hourly counts and sums; in append mode an hour comes out once the watermark has passed it, and later events are dropped."""
     windowed = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type")
     return windowed.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "1 hour") -> DataFrame:
-    """Sessions that end after a gap without events."""
+    """Sessions that end after a gap without events; in append mode each comes out once, when the watermark has passed its end."""
     return _timed(events).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-def change_feed(spark: SparkSession, feed: DataFrame, key: str, seq: str, target: str, checkpoint: str):  # noqa: ANN201
+def change_feed(spark: SparkSession, feed: DataFrame, key: str, seq: str, target: str, checkpoint: str, every: str | None = None):  # noqa: ANN201
     """A stream of upserts and deletes merged into the parquet table ``target``, batch by batch.
 
     ``feed`` has a column ``op`` (upsert or delete).  The newest row of a key
-    wins; each batch writes a new version of the table, and the file
-    ``target``/current names it, so that a failed batch leaves the old one.
+    wins.  Each batch writes the changed version ``target``/v<batch>; a batch
+    that runs again after a failure starts from the same version before it.
+    ``every`` (as in "500 milliseconds") coalesces writes; without it the job
+    takes what is there and ends, as scheduled workers do.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.col(seq)).alias("r")).select("r.*")
         keep = newest.where("op = 'upsert'").drop("op")
-        before = f"{target}/v{number - 1}"
         if number:
-            keep = spark.read.parquet(before).join(newest, key, "left_anti").unionByName(keep)
+            keep = spark.read.parquet(f"{target}/v{number - 1}").join(newest, key, "left_anti").unionByName(keep)
         keep.write.mode("overwrite").parquet(f"{target}/v{number}")
 
-    return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """The last whole version of a table that ``change_feed`` writes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = [int(f.getPath().getName()[1:]) for f in files.listStatus(path) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(f"{target}/v{max(versions)}")
