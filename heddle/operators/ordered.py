@@ -81,3 +81,25 @@ def previous_row(df: DataFrame, group: list[str], order: list[str], values: list
         same = same & pick(g).eqNullSafe(F.col(g))
     # The very first row has no row before it: all of its _b_ columns are null.
     return joined.select(*[F.col(c) for c in df.columns], *[F.when(same, pick(v)).alias(f"{prefix}{v}") for v in values])
+
+
+def exact_percentiles(df: DataFrame, group: list[str], value: str, quantiles: list[float]) -> DataFrame:
+    """(group, n, quantile, percentile): exact percentiles, interpolated between ranks, of groups of any size.
+
+    One range-partitioned sort spreads even a single group over all tasks;
+    counts by group and partition tell where each wanted rank lies, and only
+    those rows are looked up.  Null and NaN values take no part.
+    """
+    kept = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*group, F.col(value).cast("double").alias("_v"))
+    rows = range_sorted(kept, [*group, "_v"]).withColumn("_at", F.monotonically_increasing_id())
+    counts = rows.groupBy(*group, "_pid").agg(F.min("_at").alias("_first"), F.count("*").alias("_c"))
+    within = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_c").over(within.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*group, "_first", "_c", before.alias("_from"), F.sum("_c").over(within).alias("n"))
+    wanted = offsets.withColumn("quantile", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
+    wanted = wanted.withColumn("_rank", F.col("quantile") * (F.col("n") - 1)).withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
+    target = F.least(F.floor("_rank") + F.col("_side"), F.col("n") - 1) - F.col("_from")
+    wanted = wanted.withColumn("_target", target).where((F.col("_target") >= 0) & (F.col("_target") < F.col("_c")))
+    wanted = wanted.select(*group, "n", "quantile", "_side", (F.col("_rank") - F.floor("_rank")).alias("_part"), (F.col("_first") + F.col("_target")).alias("_at"))
+    found = wanted.join(rows.select("_at", "_v"), "_at").groupBy(*group, "n", "quantile").agg(F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_a"), F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_b"), F.max("_part").alias("_part"))
+    return found.select(*group, "n", "quantile", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("percentile"))
