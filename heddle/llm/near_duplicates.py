@@ -258,8 +258,8 @@ def similar_classes(classes: DataFrame, params: MultiIndex) -> DataFrame:
     longer rows as many as join the same classes.
     """
     keys = classes.select("class", "words").mapInArrow(_table_keys(params), "key long, tagged long, s1 long, s2 long, s3 long")
-    # About half a million table entries, 20 MB, for each task.
-    tasks = max(partitions(classes.sparkSession), classes.count() * params.segments * params.symbols // 500_000)
+    # At most two million table entries, 80 MB, for each task.
+    tasks = max(partitions(classes.sparkSession), classes.count() * params.segments * params.symbols // 2_000_000)
     rows = keys.repartition(tasks, "key").sortWithinPartitions("key", "tagged")
     found = cut(rows.mapInArrow(_rows_to_pairs(params), "a long, b long, key long, paired boolean"))
     # Pairs are of half class numbers; the few classes that share one are all verified.
