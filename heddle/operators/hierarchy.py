@@ -41,20 +41,19 @@ def _double(state: DataFrame, with_paths: bool) -> DataFrame:
     """
     columns = ["node", "cur", "dist", "done", "dead", *(["hops"] if with_paths else [])]
     state = cut(state.select(*columns))
-    before = None
-    while True:
-        left = state.where(~F.col("done")).count()
-        if left == 0:
-            return state.withColumn("cyclic", F.col("dead"))
-        if left == before:
-            return state.withColumn("cyclic", F.col("dead") | ~F.col("done"))
-        ahead = state.select(F.col("node").alias("cur"), *[F.col(c).alias(f"_{c}") for c in columns[1:]])
-        moved = state.where(~F.col("done")).join(ahead, "cur").select(
+    # Rows that are done are written once and only looked up from then on.
+    done, going = state.where("done"), state.where(~F.col("done"))
+    before, left = None, going.count()
+    while left and left != before:
+        ahead = done.unionByName(going).select(F.col("node").alias("cur"), *[F.col(c).alias(f"_{c}") for c in columns[1:]])
+        moved = going.join(ahead, "cur").select(
             "node", F.col("_cur").alias("cur"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_done").alias("done"), F.col("_dead").alias("dead"),
             *([F.concat("hops", "_hops").alias("hops")] if with_paths else []),
         )
-        state = cut(state.where("done").unionByName(moved))
-        before = left
+        moved = cut(moved)
+        done, going = done.unionByName(moved.where("done")), moved.where(~F.col("done"))
+        before, left = left, going.count()
+    return done.withColumn("cyclic", F.col("dead")).unionByName(going.withColumn("cyclic", F.lit(True)))
 
 
 def _is_splitter(node: Column, rate: int) -> Column:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from heddle.registry import Registry
 
-MODULES = ("training", "scans", "texts", "ranking", "graphs", "lifecycles", "governing", "recalls", "clusters", "stores", "governed")
+MODULES = ("training", "scans", "texts", "ranking", "graphs", "lifecycles", "governing", "recalls", "clusters", "stores", "governed", "models")
 
 
 def registries() -> list[Registry]:

@@ -216,3 +216,13 @@ def test_odd_files(spark, text):
     df = spark.createDataFrame([(1, "s", 1, text)], "id long, store string, at long, body string")
     row = D.ingest(df, "body", TARGET).first()
     assert row["_parsed"] == (text == "﻿{}") and row["_rescued"] is None and row["recall"] is None
+
+
+def test_models_see_batches_and_no_nulls(spark):
+    from heddle.operators import plug
+
+    df = spark.createDataFrame([(1, "ab", "old"), (2, None, "old"), (3, "", "old")], "id int, text string, tokens string")
+    counted = {r["id"]: r["tokens"] for r in plug.count_tokens(df, "text", lambda: lambda texts: [len(t) for t in texts]).collect()}
+    assert counted == {1: 2, 2: None, 3: 0}
+    assert {r["id"]: r["answer"] for r in plug.generate(df, "text", lambda: lambda prompts: [p.upper() for p in prompts]).collect()} == {1: "AB", 2: None, 3: ""}
+    assert plug.embed(df.limit(0), "text", lambda: lambda texts: [[0.0] for _ in texts]).count() == 0
