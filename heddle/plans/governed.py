@@ -37,8 +37,8 @@ def expert_tree(spark: SparkSession, d: str) -> DataFrame:
     return lists.join(below, "node", "left").select("node", "children", "digest", F.coalesce("_top", F.lit(True)).alias("is_root"))
 
 
-@query("expert_route_branches", f"WITH {EXPERTS_SQL}, tr AS (SELECT expert, (expert - 1) // 2 AS parent, CASE WHEN expert = 0 THEN 0 WHEN expert <= 2 THEN 1 ELSE 2 END AS level FROM ex), rt AS (SELECT query_id, ro.expert, score FROM ro JOIN tr USING (expert) WHERE level = 1 AND score >= 0.05 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ro.expert) <= 2), lf AS (SELECT ro.query_id, ro.expert, ro.score FROM ro JOIN tr USING (expert) JOIN rt ON rt.query_id = ro.query_id AND rt.expert = tr.parent WHERE tr.level = 2 AND ro.score >= 0.05 QUALIFY row_number() OVER (PARTITION BY ro.query_id ORDER BY ro.score DESC, ro.expert) <= 3), fb AS (SELECT query_id, expert, score FROM ro WHERE query_id NOT IN (SELECT query_id FROM lf) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, expert) <= 3) SELECT query_id, expert, round(score, 6) AS score, 'tree' AS via FROM lf UNION ALL SELECT query_id, expert, round(score, 6), 'flat' FROM fb")
-def expert_route_branches(spark: SparkSession, d: str) -> DataFrame:
+@query("expert_route_tree", f"WITH {EXPERTS_SQL}, tr AS (SELECT expert, (expert - 1) // 2 AS parent, CASE WHEN expert = 0 THEN 0 WHEN expert <= 2 THEN 1 ELSE 2 END AS level FROM ex), rt AS (SELECT query_id, ro.expert, score FROM ro JOIN tr USING (expert) WHERE level = 1 AND score >= 0.05 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ro.expert) <= 2), lf AS (SELECT ro.query_id, ro.expert, ro.score FROM ro JOIN tr USING (expert) JOIN rt ON rt.query_id = ro.query_id AND rt.expert = tr.parent WHERE tr.level = 2 AND ro.score >= 0.05 QUALIFY row_number() OVER (PARTITION BY ro.query_id ORDER BY ro.score DESC, ro.expert) <= 3), fb AS (SELECT query_id, expert, score FROM ro WHERE query_id NOT IN (SELECT query_id FROM lf) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, expert) <= 3) SELECT query_id, expert, round(score, 6) AS score, 'tree' AS via FROM lf UNION ALL SELECT query_id, expert, round(score, 6), 'flat' FROM fb")
+def expert_route_tree(spark: SparkSession, d: str) -> DataFrame:
     """Branches above a bar, then leaves below the two best of them; queries that reach no leaf are routed flat.
 
     The tree is the heap order of the experts' numbers.
@@ -57,11 +57,11 @@ RULES = (("slow", 1, "latency_ms", "above", 30000.0, 2), ("lengthy", 2, "prompt_
 _RULES_SQL = "ru(rule, place, field, op, bar, severity) AS (VALUES " + ", ".join(f"('{a}', {b}, '{c}', '{o}', {v}::DOUBLE, {s})" for a, b, c, o, v, s in RULES) + ")"
 
 
-@query("rule_table", f"""WITH {_RULES_SQL}, t AS (SELECT DISTINCT ON (result_id) result_id, latency_ms, prompt_tokens::DOUBLE AS prompt_tokens, context_tokens::DOUBLE AS context_tokens, similarity::DOUBLE AS similarity FROM task_results),
+@query("rule_evaluation", f"""WITH {_RULES_SQL}, t AS (SELECT DISTINCT ON (result_id) result_id, latency_ms, prompt_tokens::DOUBLE AS prompt_tokens, context_tokens::DOUBLE AS context_tokens, similarity::DOUBLE AS similarity FROM task_results),
 f AS (UNPIVOT (SELECT result_id, coalesce(latency_ms, 'NaN'::DOUBLE) AS latency_ms, coalesce(prompt_tokens, 'NaN'::DOUBLE) AS prompt_tokens, coalesce(context_tokens, 'NaN'::DOUBLE) AS context_tokens, coalesce(similarity, 'NaN'::DOUBLE) AS similarity FROM t) ON latency_ms, prompt_tokens, context_tokens, similarity INTO NAME field VALUE v),
 h AS (SELECT result_id, place, rule, CASE WHEN isnan(v) THEN 3 WHEN (op = 'above' AND v > bar) OR (op = 'below' AND v < bar) THEN severity ELSE 0 END AS s FROM f JOIN ru USING (field))
 SELECT result_id, max(s)::INTEGER AS severity, arg_max(rule, s * 100 - place) AS decided_by FROM h GROUP BY result_id""")
-def rule_table(spark: SparkSession, d: str) -> DataFrame:
+def rule_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Rules of a table on each result: the worst outcome holds, the first rule that gives it decides; a missing value denies."""
     rules = spark.createDataFrame(list(RULES), "rule string, place int, field string, op string, bar double, severity int")
     fields = sorted({r[2] for r in RULES})
@@ -189,12 +189,12 @@ def context_compilation(spark: SparkSession, d: str) -> DataFrame:
     return G.compile_context(rows, "query_id", "place", {"tokens": 1500, "bytes": 5000}, 3).select("query_id", "id", "place", "tokens", "bytes", "taken")
 
 
-@query("holm_of_tests", """WITH s AS (SELECT DISTINCT ON (score_id) score_id, dataset_id, search_mode, query_id, mrr::DOUBLE AS v FROM query_scores), a AS (SELECT dataset_id, search_mode, query_id, avg(v) AS v FROM s WHERE query_id IS NOT NULL GROUP BY ALL),
+@query("holm_bonferroni", """WITH s AS (SELECT DISTINCT ON (score_id) score_id, dataset_id, search_mode, query_id, mrr::DOUBLE AS v FROM query_scores), a AS (SELECT dataset_id, search_mode, query_id, avg(v) AS v FROM s WHERE query_id IS NOT NULL GROUP BY ALL),
 p AS (SELECT c.dataset_id, c.search_mode, count(*) FILTER (c.v > b.v) AS wins, count(*) FILTER (c.v < b.v) AS losses FROM a c JOIN a b ON b.dataset_id = c.dataset_id AND b.query_id = c.query_id AND b.search_mode = 'vector' WHERE c.search_mode <> 'vector' GROUP BY ALL),
 t AS (SELECT *, exp(-2.0::DOUBLE * greatest(0, wins / greatest(wins + losses, 1)::DOUBLE - 0.5) ^ 2 * (wins + losses)) AS bound FROM p),
 o AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY dataset_id) - row_number() OVER (PARTITION BY dataset_id ORDER BY bound, search_mode) + 1) * bound) AS x FROM t)
 SELECT dataset_id, search_mode, wins, losses, round(max(x) OVER (PARTITION BY dataset_id ORDER BY bound, search_mode ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM o""")
-def holm_of_tests(spark: SparkSession, d: str) -> DataFrame:
+def holm_bonferroni(spark: SparkSession, d: str) -> DataFrame:
     """Step-down adjustment of sign tests of each mode against plain search; p by its exponential bound."""
     from heddle.operators import evaluation as X
 

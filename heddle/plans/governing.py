@@ -42,17 +42,6 @@ def expert_route(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(of.orderBy(F.desc("score"), "expert"))).where("r <= 3").select("query_id", "expert", F.round("score", 6).alias("score"))
 
 
-@query("expert_route_tree", f"WITH {EXPERTS_SQL}, b AS (SELECT query_id, expert % 3 AS root, max(score) AS s FROM ro GROUP BY ALL), t AS (SELECT * FROM b WHERE s >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, root) <= 2) SELECT ro.query_id, t.root, ro.expert AS leaf FROM ro JOIN t ON t.query_id = ro.query_id AND t.root = ro.expert % 3 WHERE ro.score >= 0.1 QUALIFY row_number() OVER (PARTITION BY ro.query_id ORDER BY ro.score DESC, ro.expert) <= 3")
-def expert_route_tree(spark: SparkSession, d: str) -> DataFrame:
-    """The two best roots above a threshold, then the best leaves below them."""
-    rows = _routes(spark, d).withColumn("root", F.col("expert") % 3)
-    of = Window.partitionBy("query_id")
-    roots = rows.groupBy("query_id", "root").agg(F.max("score").alias("s")).where("s >= 0.1")
-    roots = roots.withColumn("r", F.row_number().over(of.orderBy(F.desc("s"), "root"))).where("r <= 2").select("query_id", "root")
-    leaves = rows.where("score >= 0.1").join(roots, ["query_id", "root"])
-    return leaves.withColumn("r", F.row_number().over(of.orderBy(F.desc("score"), "expert"))).where("r <= 3").select("query_id", "root", F.col("expert").alias("leaf"))
-
-
 @query("expert_placement", f"WITH {EXPERTS_SQL}, m AS (SELECT query_id, max(score) AS s FROM ro GROUP BY query_id) SELECT query_id, CASE WHEN s >= 0.3 THEN 'auto' WHEN s >= 0.2 THEN 'suggested' ELSE 'none' END AS placement FROM m")
 def expert_placement(spark: SparkSession, d: str) -> DataFrame:
     best = _routes(spark, d).groupBy("query_id").agg(F.max("score").alias("s"))
@@ -137,15 +126,6 @@ def constitution_compose(spark: SparkSession, d: str) -> DataFrame:
     return G.chained(rows, "constitution_id", "published_at", "own", "before")
 
 
-@query("rule_evaluation", "SELECT result_id, max(greatest(CASE WHEN latency_ms > 30000 THEN 2 ELSE 0 END, CASE WHEN error_text IS NOT NULL THEN 3 ELSE 0 END, CASE WHEN insufficient_context IS NULL THEN 3 WHEN insufficient_context THEN 1 ELSE 0 END)) AS severity FROM task_results GROUP BY result_id")
-def rule_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    """Worst outcome of ordered rules; a rule that cannot be evaluated denies."""
-    slow = F.when(F.col("latency_ms") > 30000, 2).otherwise(0)
-    failed = F.when(F.col("error_text").isNotNull(), 3).otherwise(0)
-    unsure = F.when(F.col("insufficient_context").isNull(), 3).when(F.col("insufficient_context"), 1).otherwise(0)
-    return table(spark, d, "task_results").groupBy("result_id").agg(F.max(F.greatest(slow, failed, unsure)).alias("severity"))
-
-
 @query("verifier_plan", "WITH k AS (SELECT DISTINCT run_id, result_id, NOT passed AS vetoed, coalesce(insufficient_context, false) AS det FROM task_results) SELECT run_id, result_id AS step, coalesce(max(vetoed::INTEGER) OVER (PARTITION BY run_id ORDER BY det DESC, result_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS ran FROM k")
 def verifier_plan(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "task_results").select("run_id", F.col("result_id").alias("step"), (~F.col("passed")).alias("vetoed"), F.coalesce("insufficient_context", F.lit(False)).alias("deterministic")).distinct()

@@ -161,14 +161,6 @@ def paired_t(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"mean_delta": F.round("mean_delta", 8), "t": F.round("t", 5)})
 
 
-@query("holm_bonferroni", "WITH p AS (SELECT DISTINCT arm, task_id, run_id, result_id, similarity::DOUBLE AS p FROM task_results WHERE similarity IS NOT NULL AND NOT isnan(similarity)), k AS (SELECT arm, task_id, min(p) AS p FROM p GROUP BY ALL), o AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY arm) - row_number() OVER (PARTITION BY arm ORDER BY p, task_id) + 1) * p) AS s FROM k) SELECT arm, task_id, round(max(s) OVER (PARTITION BY arm ORDER BY p, task_id ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM o")
-def holm_bonferroni(spark: SparkSession, d: str) -> DataFrame:
-    """Step-down adjustment inside each arm."""
-    rows = table(spark, d, "task_results").where(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
-    rows = rows.groupBy("arm", "task_id").agg(F.min(F.col("similarity").cast("double")).alias("p"))
-    return X.holm(rows, ["arm"], "p", "task_id").select("arm", "task_id", F.round("adjusted", 6).alias("adjusted"))
-
-
 @query("regression_gate")
 def regression_gate(spark: SparkSession, d: str) -> DataFrame:
     """Floor, significance and verdict of every mode of every dataset."""

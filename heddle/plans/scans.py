@@ -32,13 +32,6 @@ def scan_point_lookup(spark: SparkSession, d: str) -> DataFrame:
     return wanted.join(entries(spark, d), F.col("entry_id") == F.col("id")).select("entry_id", "tenant_id", "ns", "lifecycle_state")
 
 
-@query("point_read_unambiguous", "WITH k AS (SELECT DISTINCT tenant_id, ns, task_id FROM (SELECT arm AS ns, '' AS tenant_id, task_id FROM task_results)) SELECT task_id, min(ns) AS ns FROM k GROUP BY tenant_id, task_id HAVING count(*) = 1")
-def point_read_unambiguous(spark: SparkSession, d: str) -> DataFrame:
-    """Keys that occur in one partition only; keys of several are ambiguous and give nothing."""
-    keys = table(spark, d, "task_results").select(F.col("arm").alias("ns"), "task_id").distinct()
-    return keys.groupBy("task_id").agg(F.min("ns").alias("ns"), F.count("*").alias("n")).where("n = 1").select("task_id", "ns")
-
-
 @query("upsert_latest", "SELECT score_id, run_id, CASE WHEN NOT isnan(latency_ms) THEN latency_ms END AS latency_ms, loaded_at FROM (SELECT DISTINCT score_id, run_id, latency_ms, loaded_at FROM query_scores) QUALIFY row_number() OVER (PARTITION BY score_id ORDER BY loaded_at DESC) = 1")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     """Latest row wins, by one aggregation that combines before the shuffle; a latency that is no number comes out null."""
@@ -46,13 +39,6 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("score_id", "r.run_id", F.when(~F.isnan("r.latency_ms"), F.col("r.latency_ms")).alias("latency_ms"), "r.loaded_at")
 
 
-@query("upsert_capped", f"WITH {ENTRIES_SQL} SELECT tenant_id, ns, count(*) FILTER (rn <= 100) AS stored, count(*) FILTER (rn > 100) AS refused FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, ns ORDER BY created_at NULLS FIRST, id) AS rn FROM e) GROUP BY tenant_id, ns")
-def upsert_capped(spark: SparkSession, d: str) -> DataFrame:
-    """A batch into namespaces with room for 100 entries each: what each one stores and refuses."""
-    sizes = entries(spark, d).groupBy("tenant_id", "ns").agg(F.count("*").alias("n"))
-    return sizes.select("tenant_id", "ns", F.least("n", F.lit(100)).cast("long").alias("stored"), F.greatest(F.col("n") - 100, F.lit(0)).cast("long").alias("refused"))
-
-
 @query("delete_entries", f"WITH {ENTRIES_SQL} SELECT id, ns FROM e WHERE NOT EXISTS (SELECT 1 FROM duplicate_pairs p WHERE p.entry_b.id = e.id)")
 def delete_entries(spark: SparkSession, d: str) -> DataFrame:
     """What is left after deleting the second side of all reported pairs."""
@@ -120,11 +106,3 @@ def visible_statistics(spark: SparkSession, d: str) -> DataFrame:
     linked = edges(spark, d).join(visible.select(F.col("id").alias("src")), "src", "left_semi").join(visible.select(F.col("id").alias("dst")), "dst", "left_semi")
     totals = visible.agg(F.count("*").alias("entries"), F.count_distinct("ns").alias("namespaces"))
     return totals.crossJoin(linked.agg(F.count("*").alias("edges")))  # one row each
-
-
-@query("compression_stats", f"""WITH {ENTRIES_SQL} SELECT ns, count(*) AS entries, count(*) FILTER (lifecycle_state IN ('ltm', 'archived')) AS quantized, count(*) * 256 AS fp32_bytes,
-  (count(*) FILTER (lifecycle_state IN ('ltm', 'archived'))) * 76 AS int8_bytes FROM e GROUP BY ns""")
-def compression_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Bytes of 64-dimensional vectors in float32, and of the int8 copies of long-term entries."""
-    kept = F.count(F.when(F.col("lifecycle_state").isin("ltm", "archived"), 1))
-    return entries(spark, d).groupBy("ns").agg(F.count("*").alias("entries"), kept.alias("quantized"), (F.count("*") * 256).alias("fp32_bytes"), (kept * 76).alias("int8_bytes"))

@@ -38,8 +38,8 @@ def point_read(rows: DataFrame, tenant: str, key: DataFrame) -> DataFrame:
     return mine.withColumn("_n", F.count("*").over(Window.partitionBy("id"))).where("_n = 1").drop("_n")
 
 
-@query("point_read_tenant", "WITH t AS (SELECT id, coalesce(tenant_id, '') AS tenant_id, ns, any_value(text) AS text FROM entries GROUP BY 1, 2, 3), k AS (SELECT DISTINCT entry_a.id AS id FROM duplicate_pairs) SELECT id, ns, md5(text) AS digest FROM t WHERE tenant_id = 'acorn' AND id IN (SELECT id FROM k) QUALIFY count(*) OVER (PARTITION BY id) = 1")
-def point_read_tenant(spark: SparkSession, d: str) -> DataFrame:
+@query("point_read_unambiguous", "WITH t AS (SELECT id, coalesce(tenant_id, '') AS tenant_id, ns, any_value(text) AS text FROM entries GROUP BY 1, 2, 3), k AS (SELECT DISTINCT entry_a.id AS id FROM duplicate_pairs) SELECT id, ns, md5(text) AS digest FROM t WHERE tenant_id = 'acorn' AND id IN (SELECT id FROM k) QUALIFY count(*) OVER (PARTITION BY id) = 1")
+def point_read_unambiguous(spark: SparkSession, d: str) -> DataFrame:
     """Reported entries of one tenant, read by id alone."""
     rows = table(spark, d, "entries").groupBy("id", F.coalesce("tenant_id", F.lit("")).alias("tenant_id"), "ns").agg(F.any_value("text").alias("text"))
     wanted = table(spark, d, "duplicate_pairs").select(F.col("entry_a.id").alias("id")).distinct()
@@ -87,8 +87,8 @@ def upsert_rows(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "tenant_id", "ns", F.coalesce("keywords", F.lit("")).alias("keywords"), F.round(norm, 4).alias("norm"), (F.coalesce(F.col("lifecycle_state").isin("ltm", "archived"), F.lit(False)) & F.col("vector").isNotNull()).alias("quantized"))
 
 
-@query("vector_stats", f"WITH {_RAW_SQL}, vv AS (SELECT ns, lower(trim(lifecycle_state)) AS s, {VECTOR_SQL} AS v FROM ra) SELECT ns, count(*) AS entries, count(v) AS vectors, coalesce(sum(len(v)) * 4, 0)::BIGINT AS fp32_bytes, coalesce(sum(len(v) + 12) FILTER (s IN ('ltm', 'archived')), 0)::BIGINT AS int8_bytes FROM vv GROUP BY ns")
-def vector_stats(spark: SparkSession, d: str) -> DataFrame:
+@query("compression_stats", f"WITH {_RAW_SQL}, vv AS (SELECT ns, lower(trim(lifecycle_state)) AS s, {VECTOR_SQL} AS v FROM ra) SELECT ns, count(*) AS entries, count(v) AS vectors, coalesce(sum(len(v)) * 4, 0)::BIGINT AS fp32_bytes, coalesce(sum(len(v) + 12) FILTER (s IN ('ltm', 'archived')), 0)::BIGINT AS int8_bytes FROM vv GROUP BY ns")
+def compression_stats(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of the stored vectors that can be read, in float32 and in int8 with scale, minimum and self product."""
     raw = _raw(spark, d)
     rows = raw.select("id", "ns", F.lower(F.trim("lifecycle_state")).alias("s")).join(read_vector(raw, "id", "json_data"), "id", "left")
@@ -183,8 +183,8 @@ def tenant_paths(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("parity", F.col("stored") == F.col("migrated"))
 
 
-@query("canonical_hash", "SELECT DISTINCT id, sha256('{' || array_to_string(list_sort(list_transform(map_entries(metadata), lambda x: to_json(x.key) || ':' || coalesce(to_json(x.value), 'null'))), ',') || '}') AS digest FROM entries WHERE metadata IS NOT NULL")
-def canonical_hash(spark: SparkSession, d: str) -> DataFrame:
+@query("argument_hash", "SELECT DISTINCT id, sha256('{' || array_to_string(list_sort(list_transform(map_entries(metadata), lambda x: to_json(x.key) || ':' || coalesce(to_json(x.value), 'null'))), ',') || '}') AS digest FROM entries WHERE metadata IS NOT NULL")
+def argument_hash(spark: SparkSession, d: str) -> DataFrame:
     """Digest of a map's JSON with sorted keys; quoted, so that no two maps share one."""
     parts = F.transform(F.map_entries("metadata"), lambda e: F.concat(J.quoted(e["key"]), F.lit(":"), F.coalesce(J.quoted(e["value"]), F.lit("null"))))
     return table(spark, d, "entries").where("metadata is not null").select("id", F.sha2(F.concat(F.lit("{"), F.array_join(F.array_sort(parts), ","), F.lit("}")), 256).alias("digest")).distinct()

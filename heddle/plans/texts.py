@@ -160,10 +160,3 @@ def member_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """Order-free fingerprint of a member set."""
     rows = table(spark, d, "task_results").groupBy("run_id").agg(F.array_sort(F.collect_set("task_id")).alias("m"))
     return rows.select("run_id", F.size("m").cast("long").alias("members"), F.substring(F.sha2(F.array_join("m", "\n"), 256), 1, 32).alias("fingerprint"))
-
-
-@query("argument_hash", "SELECT DISTINCT id, sha256(CASE WHEN len(map_keys(metadata)) = 0 THEN '' ELSE array_to_string(list_sort(list_transform(map_entries(metadata), lambda x: x.key || '=' || coalesce(x.value, ''))), ';') END) AS digest FROM entries WHERE metadata IS NOT NULL")
-def argument_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Key-sorted canonical form of a map, hashed."""
-    canonical = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))), ";")
-    return table(spark, d, "entries").where("metadata is not null").select("id", F.sha2(canonical, 256).alias("digest")).distinct()
