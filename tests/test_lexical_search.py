@@ -5,6 +5,7 @@ import tracemalloc
 from pyspark.sql import functions as F
 
 from heddle.operators import retrieval as R
+from heddle.plans import ranking, recalls
 
 
 def rows(df):
@@ -32,3 +33,29 @@ def test_blocks_of_queries_and_documents_equal_the_joined_form(spark):
     docs = spark.range(many).repartition(1).select("id", F.concat_ws(" ", F.lit("every"), word("a", 3), word("b", 40), word("b", 40), word("c", 700)).alias("text"))
     asked = docs.withColumnRenamed("id", "query_id")
     assert rows(R.lexical_search(asked, "query_id", "text", docs, "id", "text", 6)) == rows(R.bm25(asked, "query_id", "text", R.postings(docs, "id", "text"), "id", 6))
+
+
+def _store(spark, folder):
+    """300 documents of which two share a run of 400 000 characters, and vectors for half of them."""
+    run = "x" * 400_000
+    rows = [(i, f"alpha beta{i % 7} gamma{i % 11}" + (f" {run}" if i in (50, 57) else ""), "web", "alpha" if i % 2 else "note") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, doc_kind string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, [float(i % 13 + 1), float(i % 5), 1.0], i % 3) for i in range(150)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def _driver_mb(query, spark, folder):
+    spark.range(3).count()
+    tracemalloc.start()
+    found = query(spark, folder).collect()
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return found, most
+
+
+def test_rrf_hybrid_with_a_long_run(spark, tmp_path):
+    found, most = _driver_mb(ranking.rrf_hybrid, spark, _store(spark, tmp_path))
+    assert most < 20
+    # Of the lexical list, the other text with the run ranks right behind the query's own.
+    scores = {r["id"]: r["bm25"] for r in found if r["query_id"] == 50}
+    assert scores[50] == max(x for x in scores.values() if x is not None)
