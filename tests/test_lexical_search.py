@@ -59,3 +59,9 @@ def test_rrf_hybrid_with_a_long_run(spark, tmp_path):
     # Of the lexical list, the other text with the run ranks right behind the query's own.
     scores = {r["id"]: r["bm25"] for r in found if r["query_id"] == 50}
     assert scores[50] == max(x for x in scores.values() if x is not None)
+
+
+def test_unified_search_with_a_long_run(spark, tmp_path):
+    found, most = _driver_mb(recalls.unified_search, spark, _store(spark, tmp_path))
+    assert most < 20
+    assert {r["query_id"] for r in found} == set(range(0, 300, 50)) and all(r["id"] % 4 != 3 for r in found)
