@@ -65,3 +65,11 @@ def test_unified_search_with_a_long_run(spark, tmp_path):
     found, most = _driver_mb(recalls.unified_search, spark, _store(spark, tmp_path))
     assert most < 20
     assert {r["query_id"] for r in found} == set(range(0, 300, 50)) and all(r["id"] % 4 != 3 for r in found)
+
+
+def test_hybrid_adaptive_k_with_a_long_run(spark, tmp_path):
+    found, most = _driver_mb(ranking.hybrid_adaptive_k, spark, _store(spark, tmp_path))
+    assert most < 20
+    # Queries with a vector have a cosine of one, so their constant is 120; those without have 60.
+    best = {r["query_id"]: r["rrf"] for r in found if r["rank"] == 1}
+    assert set(best) == set(range(0, 300, 50)) and all(v <= 2 / 121 + 1e-8 for q, v in best.items() if q < 150) and all(v == round(1 / 61, 8) for q, v in best.items() if q >= 150)
