@@ -73,3 +73,10 @@ def test_hybrid_adaptive_k_with_a_long_run(spark, tmp_path):
     # Queries with a vector have a cosine of one, so their constant is 120; those without have 60.
     best = {r["query_id"]: r["rrf"] for r in found if r["rank"] == 1}
     assert set(best) == set(range(0, 300, 50)) and all(v <= 2 / 121 + 1e-8 for q, v in best.items() if q < 150) and all(v == round(1 / 61, 8) for q, v in best.items() if q >= 150)
+
+
+def test_semantic_gate_with_a_long_run(spark, tmp_path):
+    found, most = _driver_mb(ranking.semantic_gate, spark, _store(spark, tmp_path))
+    assert most < 20
+    # Only lexical hits with a vector count, and only for queries that have one.
+    assert {r["query_id"] for r in found} <= {0, 50, 100} and all(r["id"] < 150 and r["cosine"] >= 0.1 for r in found)
