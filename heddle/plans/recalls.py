@@ -51,7 +51,8 @@ def unified_search(spark: SparkSession, d: str) -> DataFrame:
     rows, vector, lexical = _lists(spark, d)
     top = vector.groupBy("query_id").agg(F.max("score").alias("top"))
     fused = R.rrf(vector, lexical, "query_id", "id", 2 * POOL).join(top, "query_id", "left")
-    asked = rows.select(F.col("id").alias("query_id"), T.lexical_tokens(F.col("text")).alias("_q"))
+    # Only queries' texts are tokenised and shuffled.
+    asked = _queries(rows).select(F.col("id").alias("query_id"), T.lexical_tokens(F.col("text")).alias("_q"))
     seen = rows.where(F.col("lifecycle_state").isin("stm", "ltm")).select("id", T.lexical_tokens(F.col("category")).alias("_c"))
     sure = F.coalesce("top", F.lit(0.0)) >= 0.50
     hits = fused.drop("rank").join(asked, "query_id").join(seen, "id")

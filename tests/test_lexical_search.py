@@ -115,3 +115,8 @@ def _in_groups(query, spark, folder, monkeypatch):
 def test_rrf_hybrid_in_groups(spark, tmp_path, monkeypatch):
     whole, parts = _in_groups(ranking.rrf_hybrid, spark, _store(spark, tmp_path), monkeypatch)
     assert parts == whole and len(whole) == 60
+
+
+def test_unified_search_in_groups(spark, tmp_path, monkeypatch):
+    whole, parts = _in_groups(recalls.unified_search, spark, _store(spark, tmp_path), monkeypatch)
+    assert parts == whole and len(whole) == 60
