@@ -120,3 +120,8 @@ def test_rrf_hybrid_in_groups(spark, tmp_path, monkeypatch):
 def test_unified_search_in_groups(spark, tmp_path, monkeypatch):
     whole, parts = _in_groups(recalls.unified_search, spark, _store(spark, tmp_path), monkeypatch)
     assert parts == whole and len(whole) == 60
+
+
+def test_hybrid_adaptive_k_in_groups(spark, tmp_path, monkeypatch):
+    whole, parts = _in_groups(ranking.hybrid_adaptive_k, spark, _store(spark, tmp_path), monkeypatch)
+    assert parts == whole and len(whole) == 60
