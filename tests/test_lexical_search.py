@@ -125,3 +125,8 @@ def test_unified_search_in_groups(spark, tmp_path, monkeypatch):
 def test_hybrid_adaptive_k_in_groups(spark, tmp_path, monkeypatch):
     whole, parts = _in_groups(ranking.hybrid_adaptive_k, spark, _store(spark, tmp_path), monkeypatch)
     assert parts == whole and len(whole) == 60
+
+
+def test_semantic_gate_in_groups(spark, tmp_path, monkeypatch):
+    whole, parts = _in_groups(ranking.semantic_gate, spark, _store(spark, tmp_path), monkeypatch)
+    assert parts == whole
